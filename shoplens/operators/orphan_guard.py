@@ -22,6 +22,8 @@ def valid_orders(bronze: DataFrame, since: Column | None = None) -> DataFrame:
     p = bronze.filter((F.col("event_type") == "purchase") & F.col("order_id").isNotNull())
     if since is not None:
         p = p.filter(F.col("created_at") >= since)
+        if "event_month" in p.columns:
+            p = p.filter(F.col("event_month") >= F.trunc(F.to_date(since), "MM"))
     return p.select("shop_id", "order_id").distinct()
 
 
@@ -37,6 +39,8 @@ def guarded_order_events(bronze: DataFrame, since: Column | None = None,
         ev = ev.filter(F.col("order_id").isNotNull())
     if since is not None:
         ev = ev.filter(F.col("created_at") >= since)
+        if "event_month" in ev.columns:
+            ev = ev.filter(F.col("event_month") >= F.trunc(F.to_date(since), "MM"))
     if extra_filter is not None:
         ev = ev.filter(extra_filter)
     purchases = ev.filter(F.col("event_type") == "purchase")

@@ -47,7 +47,14 @@ def lower_bound(as_of: str | dt.datetime, lookback: str | None) -> Column | None
 
 
 def _since(bronze: DataFrame, bound: Column | None) -> DataFrame:
-    return bronze if bound is None else bronze.filter(F.col("created_at") >= bound)
+    """Lower time bound, plus the implied month-partition predicate (Spark does not
+    derive partition pruning on ``event_month`` from a ``created_at`` filter)."""
+    if bound is None:
+        return bronze
+    cond = F.col("created_at") >= bound
+    if "event_month" in bronze.columns:
+        cond = cond & (F.col("event_month") >= F.trunc(F.to_date(bound), "MM"))
+    return bronze.filter(cond)
 
 
 def _day() -> Column:
