@@ -48,6 +48,16 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def events_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze events derived from the ``events`` table (the default bridge)."""
+    return _finish(_events_rows(spark, sf_dir))
+
+
+def events_bronze_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bridge rows plus the source columns (event_id, user_id, value)."""
+    return _events_rows(spark, sf_dir, keep_source=True).withColumn(
+        "event_month", F.trunc(F.to_date("created_at"), "MM"))
+
+
+def _events_rows(spark: SparkSession, sf_dir: str, keep_source: bool = False) -> DataFrame:
     ev = _table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
@@ -99,8 +109,9 @@ def events_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(u7.isin(3, 4), "Respublika Krym")).alias("geo_subject"),
         F.when(~no_geo & u7.isin(1, 2, 3),
                F.concat(F.lit("city_"), u7.cast("string"))).alias("geo_city"),
+        *([eid.alias("event_id"), uid.alias("user_id"), F.col("value")] if keep_source else []),
     )
-    return _finish(out)
+    return out
 
 
 def commerce_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
