@@ -172,8 +172,9 @@ def _session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
          .select("shop_id", "session_id", _day(),
                  F.struct(F.col("geo_country").isNull().alias("no_geo"), "created_at", "id",
                           *GEO).alias("m")))
-    per_day = b.groupBy("shop_id", "session_id", "day").agg(F.min("m").alias("m"))
-    return per_day.groupBy("shop_id", "session_id").agg(
+    # one aggregation per session (partial map-side, then final): the struct minimum
+    # needs a sort-based aggregate (variable-length buffer), so it is done only once
+    return b.groupBy("shop_id", "session_id").agg(
         F.min("m").alias("m"), F.collect_set("day").alias("days"))
 
 
