@@ -59,10 +59,17 @@ def scan(bronze: DataFrame, start=None, end=None, shop_id: str | None = None,
     return bronze.filter(scan_filter(start, end, shop_id, event_types))
 
 
-def write(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events. No repartition by month (one month would be one huge task); each
-    task writes its rows into the month directories it touches, sorted for pushdown."""
-    (df.sortWithinPartitions("event_month", "shop_id", "created_at")
+def write(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Batch append of events.
+
+    A range repartition on (event_month, shop_id, created_at) - boundaries from a sample,
+    so a huge month or shop is split over many tasks instead of landing in one - gives
+    every task a contiguous slice: it writes into one or two month directories (no
+    small-file explosion when a backfill spans years) and its file is already clustered
+    by (shop_id, created_at) for min/max skipping. Streaming appends use the file sink."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, "event_month", "shop_id", "created_at")
+       .sortWithinPartitions("event_month", "shop_id", "created_at")
        .write.mode(mode).partitionBy("event_month").parquet(path))
 
 
