@@ -84,3 +84,35 @@ def use_intraday(start: dt.datetime, end: dt.datetime, now: dt.datetime) -> bool
 
 def sql_ts(t: dt.datetime) -> str:
     return _naive_utc(t).strftime("%Y-%m-%d %H:%M:%S")
+
+
+# ---------------------------------------------------------------------------------------
+# the same rules as column expressions (a window per row, e.g. per-shop reference times)
+# ---------------------------------------------------------------------------------------
+def _col_period_start(period: str, end):
+    from pyspark.sql import functions as F
+    months = {"3m": 3, "6m": 6, "1y": 12}.get(period)
+    if months is not None:
+        total = F.year(end) * 12 + F.month(end) - 1 - months
+        first = F.make_date(F.floor(total / 12).cast("int"), (total % 12 + 1).cast("int"), F.lit(1))
+        return F.date_add(first, (F.dayofmonth(end) - 1).cast("int"))
+    days = {"24h": 1, "7d": 7}.get(period, 30)
+    return F.date_sub(end, days)
+
+
+def period_window_cols(period: str, ref):
+    """(start, end) dates of ``period`` for the reference timestamp column ``ref``:
+    end = the day after ref's UTC date; month periods overflow like the driver rule."""
+    from pyspark.sql import functions as F
+    end = F.date_add(F.to_date(ref), 1)
+    return _col_period_start(period, end), end
+
+
+def period_window_by_name(period_col, ref, periods=("24h", "7d", "30d", "3m", "6m", "1y")):
+    """(start, end) for a period given per row in ``period_col`` (unknown -> 30 days)."""
+    from pyspark.sql import functions as F
+    end = F.date_add(F.to_date(ref), 1)
+    start = _col_period_start("30d", end)
+    for p in periods:
+        start = F.when(period_col == p, _col_period_start(p, end)).otherwise(start)
+    return start, end

@@ -391,3 +391,24 @@ def by_location(geo: DataFrame, w: Win, level: str = "subject", limit: int | Non
         ranked = top_k(out, "sessions", ["country", "subject", "city"], lim)
         res = ranked.withColumn("total_sessions", g.agg(total).scalar())
     return res.withColumn("share", round_share("sessions", "total_sessions"))
+
+
+def by_location_levels(geo: DataFrame, w: Win, limit: int | None = 100) -> DataFrame:
+    """All three levels in one aggregation: ``rollup(country, subject, city)`` yields the
+    city, subject and country groupings plus the grand total, which is the share
+    denominator (taken as a scalar). Top ``limit`` per level."""
+    lim = clamp_limit(limit, 100, 500)
+    g = _days(geo, w)
+    r = (g.rollup("geo_country", "geo_subject", "geo_city")
+          .agg(F.sum("sessions").cast("long").alias("sessions"), F.sum("orders").cast("long").alias("orders"),
+               F.grouping_id().alias("gid")))
+    total = r.filter(F.col("gid") == 7).select(F.coalesce("sessions", F.lit(0)).cast("long")).scalar()
+    lvl = F.when(F.col("gid") == 0, "city").when(F.col("gid") == 1, "subject").otherwise("country")
+    out = r.filter(F.col("gid") != 7).select(
+        lvl.alias("level"), F.coalesce("geo_country", F.lit("")).alias("country"),
+        F.when(F.col("gid") <= 1, F.coalesce("geo_subject", F.lit(""))).otherwise(F.lit("")).alias("subject"),
+        F.when(F.col("gid") == 0, F.coalesce("geo_city", F.lit(""))).otherwise(F.lit("")).alias("city"),
+        "sessions", "orders")
+    ranked = top_k_per_group(out, ["level"], "sessions", ["country", "subject", "city"], lim)
+    return ranked.withColumn("total_sessions", total).withColumn(
+        "share", round_share("sessions", "total_sessions"))

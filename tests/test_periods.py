@@ -60,3 +60,19 @@ def test_limit_clamp():
     assert clamp_limit(0) == 10 and clamp_limit(101) == 10 and clamp_limit(50) == 50
     assert clamp_limit(0, 100, 500) == 100 and clamp_limit(501, 100, 500) == 100
     assert clamp_limit(500, 100, 500) == 500
+
+
+def test_column_rules_equal_driver_rules(spark):
+    from pyspark.sql import functions as F
+
+    from shoplens.functions.periods import period_window_by_name
+    refs = [D(2026, m, d, 13) for m in range(1, 13) for d in (1, 15, 28, 29, 30, 31) if not (m == 2 and d > 28)
+            if not (d == 31 and m in (4, 6, 9, 11))] + [D(2024, 2, 29, 5), D(2024, 3, 31)]
+    periods = ["24h", "7d", "30d", "3m", "6m", "1y", "zz"]
+    rows = [(r, p) for r in refs for p in periods]
+    df = spark.createDataFrame(rows, "ref timestamp, period string")
+    s, e = period_window_by_name(F.col("period"), F.col("ref"))
+    got = {(r["ref"], r["period"]): (r["s"], r["e"]) for r in df.select("ref", "period", s.alias("s"), e.alias("e")).collect()}
+    for r, p in rows:
+        ws, we = period_range(p, r)
+        assert got[(r, p)] == (ws.date(), we.date()), (r, p)
