@@ -33,7 +33,7 @@ def view_path(root: str, name: str, version: str) -> str:
 def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
                 lookback: str | None = V.DAILY_LOOKBACK,
                 top_lookback: str | None = V.TOP_PRODUCTS_LOOKBACK,
-                version: str | None = None) -> dict[str, dict]:
+                version: str | None = None, shared: bool = True) -> dict[str, dict]:
     """Recompute all views from ``bronze`` and write them under ``root``.
 
     Returns per view: path, seconds and error (None when it succeeded)."""
@@ -50,13 +50,29 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
             report[name] = {"path": path, "seconds": round(time.perf_counter() - t0, 3),
                             "error": f"{type(e).__name__}: {e}"[:500]}
 
-    silver = {
-        "daily_traffic": lambda: V.daily_traffic(bronze, as_of, lookback),
-        "daily_orders": lambda: V.daily_orders(bronze, as_of, lookback),
-        "daily_funnel": lambda: V.daily_funnel(bronze, as_of, lookback),
-        "daily_channel_attribution": lambda: V.daily_channels(bronze, as_of, lookback),
-        "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback),
-    }
+    if shared:
+        # one bronze pass for traffic/funnel/channels, one order dedup for orders/geo; both
+        # written once (this also cuts the lineage the seven views would otherwise repeat)
+        work = f"{root.rstrip('/')}/_work/version={version}"
+        V.activity_grain(bronze, as_of, lookback).write.mode("overwrite").parquet(f"{work}/activity")
+        V.deduped_orders(bronze, as_of, lookback).write.mode("overwrite").parquet(f"{work}/orders")
+        g = spark.read.parquet(f"{work}/activity")
+        d = spark.read.parquet(f"{work}/orders")
+        silver = {
+            "daily_traffic": lambda: V.traffic_from_grain(g),
+            "daily_orders": lambda: V.orders_from_dedup(d),
+            "daily_funnel": lambda: V.funnel_from_grain(g),
+            "daily_channel_attribution": lambda: V.channels_from_grain(g),
+            "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback, dedup_with_tenant=d),
+        }
+    else:
+        silver = {
+            "daily_traffic": lambda: V.daily_traffic(bronze, as_of, lookback),
+            "daily_orders": lambda: V.daily_orders(bronze, as_of, lookback),
+            "daily_funnel": lambda: V.daily_funnel(bronze, as_of, lookback),
+            "daily_channel_attribution": lambda: V.daily_channels(bronze, as_of, lookback),
+            "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback),
+        }
     for name, build in silver.items():
         write(name, build())
     if report["daily_traffic"]["error"] is None and report["daily_orders"]["error"] is None:

@@ -106,16 +106,7 @@ def deduped_orders(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBA
 
 def daily_orders(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK) -> DataFrame:
     """Net orders and revenue per (shop, tenant, day); the average truncates toward zero."""
-    d = deduped_orders(bronze, as_of, lookback)
-    agg = d.groupBy(*TRAFFIC_KEYS).agg(
-        *net_order_aggs(),
-        F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("session_id")))
-        .alias("ordering_sessions"))
-    return agg.select(
-        *TRAFFIC_KEYS, "order_count", "total_revenue_cents",
-        F.when(F.col("order_count") > 0, div_trunc("total_revenue_cents", "order_count"))
-        .otherwise(F.lit(0).cast("long")).alias("avg_order_cents"),
-        "ordering_sessions")
+    return orders_from_dedup(deduped_orders(bronze, as_of, lookback))
 
 
 # ---------------------------------------------------------------------------------------
@@ -183,7 +174,8 @@ def session_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK)
         "shop_id", "session_id", *[F.col("m")[g].alias(g) for g in GEO])
 
 
-def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK) -> DataFrame:
+def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK,
+              dedup_with_tenant: DataFrame | None = None) -> DataFrame:
     """Sessions, net orders and revenue per (shop, day, country, subject, city).
 
     Each session maps to exactly one geo triple (its canonical browsing geo), each order to
@@ -196,7 +188,12 @@ def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK) -
                   .agg(F.count(F.lit(1)).alias("sessions"),
                        F.lit(0).cast("long").alias("orders"),
                        F.lit(0).cast("long").alias("revenue_cents")))
-    oe = deduped_orders(bronze, as_of, lookback, with_tenant=False)
+    if dedup_with_tenant is None:
+        oe = deduped_orders(bronze, as_of, lookback, with_tenant=False)
+    else:
+        # per (shop, day, order, type) the max over tenants of the per-tenant maxima
+        oe = dedup_with_tenant.groupBy("shop_id", "day", "order_id", "event_type").agg(
+            F.max("order_total_cents").alias("order_total_cents"), F.max("session_id").alias("session_id"))
     orders = (oe.join(sg, ["shop_id", "session_id"], "left")
                 .groupBy("shop_id", "day", *GEO)
                 .agg(*net_order_aggs())
@@ -320,3 +317,70 @@ def all_views(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK,
         "dashboard_kpi": dashboard_kpi(t, o),
         "top_products": top_products(bronze, as_of, top_lookback),
     }
+
+
+# ---------------------------------------------------------------------------------------
+# shared pass for the refresh: one bronze scan for traffic, funnel and channels
+# ---------------------------------------------------------------------------------------
+GRAIN_KEYS = TRAFFIC_KEYS + ["session_id", "visitor_id", "channel", "utm_medium", "utm_campaign"]
+
+
+def activity_grain(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK) -> DataFrame:
+    """Events collapsed to (shop, tenant, day, session, visitor, channel, medium, campaign)
+    with the per-type counts the three browsing views need. Usually far smaller than
+    bronze (a session's events share visitor and landing UTM), so it is written once and
+    the views are derived from it instead of scanning bronze three times."""
+    et = F.col("event_type")
+    is_p = et == "purchase"
+    b = _since(bronze, lower_bound(as_of, lookback)).select(
+        "shop_id", "tenant_id", _day(), "session_id", "visitor_id",
+        F.coalesce(F.col("utm_source"), F.lit("direct")).alias("channel"), "utm_medium", "utm_campaign",
+        "event_type", "order_total_cents")
+    return b.groupBy(*GRAIN_KEYS).agg(
+        F.count_if(et == "page_view").alias("pv"),
+        F.count_if(et == "session_start").alias("ss"),
+        F.max(_is_browse()).alias("br"),
+        F.max(et == "product_view").alias("f_pv"),
+        F.max(et == "add_to_cart").alias("f_ac"),
+        F.max(et == "checkout_start").alias("f_cs"),
+        F.max(is_p).alias("f_pu"),
+        F.count_if(is_p).alias("purchases"),
+        F.sum(F.when(is_p, F.col("order_total_cents"))).alias("rev"),
+        F.count(F.when(is_p, F.col("order_total_cents"))).alias("rev_n"))
+
+
+def traffic_from_grain(g: DataFrame) -> DataFrame:
+    return g.groupBy(*TRAFFIC_KEYS).agg(
+        F.sum("pv").cast("long").alias("page_views"),
+        F.count_distinct(F.when(F.col("br"), F.col("session_id"))).alias("unique_sessions"),
+        F.count_distinct("visitor_id").alias("unique_visitors"),
+        F.sum("ss").cast("long").alias("new_sessions"))
+
+
+def funnel_from_grain(g: DataFrame) -> DataFrame:
+    per_session = g.groupBy(*TRAFFIC_KEYS, "session_id").agg(
+        *[F.max(F.col(c).cast("int")).alias(n) for c, n in (
+            ("br", "visits"), ("f_pv", "product_views"), ("f_ac", "add_to_cart"),
+            ("f_cs", "checkout_starts"), ("f_pu", "purchases"))])
+    names = ["visits", "product_views", "add_to_cart", "checkout_starts", "purchases"]
+    return per_session.groupBy(*TRAFFIC_KEYS).agg(*[F.sum(n).cast("long").alias(n) for n in names])
+
+
+def channels_from_grain(g: DataFrame) -> DataFrame:
+    return g.groupBy(*TRAFFIC_KEYS, "channel", "utm_medium", "utm_campaign").agg(
+        F.sum("ss").cast("long").alias("sessions"),
+        F.sum("purchases").cast("long").alias("orders"),
+        F.when(F.sum("rev_n") > 0, F.sum("rev")).cast("long").alias("revenue_cents"))
+
+
+def orders_from_dedup(d: DataFrame) -> DataFrame:
+    """daily_orders from the deduplicated order rows (with tenant)."""
+    agg = d.groupBy(*TRAFFIC_KEYS).agg(
+        *net_order_aggs(),
+        F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("session_id")))
+        .alias("ordering_sessions"))
+    return agg.select(
+        *TRAFFIC_KEYS, "order_count", "total_revenue_cents",
+        F.when(F.col("order_count") > 0, div_trunc("total_revenue_cents", "order_count"))
+        .otherwise(F.lit(0).cast("long")).alias("avg_order_cents"),
+        "ordering_sessions")
