@@ -9,7 +9,6 @@ An error in one view is recorded and the others go on.
 
 from __future__ import annotations
 
-import datetime as dt
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +105,3 @@ def refreshed_counts(spark: SparkSession, report: dict[str, dict]) -> DataFrame:
         out = out.unionByName(p)
     return out
 
-
-def today_version() -> str:
-    return dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S")
