@@ -152,7 +152,9 @@ def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
         F.col("order_count").alias("total_orders"), "total_revenue_cents")
     vals = ["total_revenue_cents", "total_orders", "unique_visitors", "unique_sessions", "page_views"]
     facts = traffic.unionByName(orders).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in vals])
-    base = shops_of(bronze, shop_id) if per_shop else bronze.sparkSession.range(1).select()
+    # shops with activity in the window (the part of bronze this report reads anyway), not
+    # a distinct over the whole history
+    base = shops_of(b) if per_shop else bronze.sparkSession.range(1).select()
     kcols = ["shop_id"] if per_shop else []
     return densify_buckets(base, facts, kcols, start, end, wd, vals).select(
         *kcols, "bucket_idx", "slot", *vals)
@@ -340,16 +342,17 @@ def active_shops(kpi: DataFrame, w: Win) -> DataFrame:
 # returning customers (RPT-7)
 # ---------------------------------------------------------------------------------------
 def returning_customers(bronze: DataFrame, w: Win, shop_id=None) -> DataFrame:
-    p = (_created(_shop(bronze, shop_id), w)
-         .filter((F.col("event_type") == "purchase") & F.col("visitor_id").isNotNull()
-                 & F.col("order_id").isNotNull()))
+    in_window = _created(_shop(bronze, shop_id), w)
+    p = in_window.filter((F.col("event_type") == "purchase") & F.col("visitor_id").isNotNull()
+                         & F.col("order_id").isNotNull())
     # distinct orders per visitor: the first aggregation is on (shop, visitor, order), so a
     # hot shop is spread over its visitors
     per_visitor = (p.select("shop_id", "visitor_id", "order_id").distinct()
                     .groupBy("shop_id", "visitor_id").agg(F.count(F.lit(1)).alias("n")))
     agg = per_visitor.groupBy("shop_id").agg(
         F.count(F.lit(1)).alias("total_buyers"), F.count_if(F.col("n") > 1).alias("repeat_buyers"))
-    j = _zero_fill(shops_of(bronze, shop_id).join(agg, "shop_id", "left"),
+    # shops with any activity in the window get a row (zeros when nobody bought)
+    j = _zero_fill(shops_of(in_window).join(agg, "shop_id", "left"),
                    ["total_buyers", "repeat_buyers"])
     return j.withColumn("repeat_rate", round_ratio_pct("repeat_buyers", "total_buyers"))
 
