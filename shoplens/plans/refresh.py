@@ -10,6 +10,7 @@ An error in one view is recorded and the others go on.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def view_path(root: str, name: str, version: str) -> str:
 def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
                 lookback: str | None = V.DAILY_LOOKBACK,
                 top_lookback: str | None = V.TOP_PRODUCTS_LOOKBACK,
-                version: str | None = None, shared: bool = True) -> dict[str, dict]:
+                version: str | None = None, shared: bool = True, parallel: int = 4) -> dict[str, dict]:
     """Recompute all views from ``bronze`` and write them under ``root``.
 
     Returns per view: path, seconds and error (None when it succeeded)."""
@@ -49,12 +50,28 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
             report[name] = {"path": path, "seconds": round(time.perf_counter() - t0, 3),
                             "error": f"{type(e).__name__}: {e}"[:500]}
 
+    def run_all(jobs: dict) -> None:
+        # independent jobs are submitted together: each is small next to the cluster, so
+        # running them side by side fills the executors instead of idling between stages
+        if parallel <= 1 or len(jobs) <= 1:
+            for name, build in jobs.items():
+                write(name, build())
+            return
+        with ThreadPoolExecutor(max_workers=min(parallel, len(jobs))) as pool:
+            list(pool.map(lambda kv: write(kv[0], kv[1]()), jobs.items()))
+
     if shared:
         # one bronze pass for traffic/funnel/channels, one order dedup for orders/geo; both
         # written once (this also cuts the lineage the seven views would otherwise repeat)
         work = f"{root.rstrip('/')}/_work/version={version}"
-        V.activity_grain(bronze, as_of, lookback).write.mode("overwrite").parquet(f"{work}/activity")
-        V.deduped_orders(bronze, as_of, lookback).write.mode("overwrite").parquet(f"{work}/orders")
+        inter = {"activity": V.activity_grain(bronze, as_of, lookback),
+                 "orders": V.deduped_orders(bronze, as_of, lookback)}
+        if parallel > 1:
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                list(pool.map(lambda kv: kv[1].write.mode("overwrite").parquet(f"{work}/{kv[0]}"), inter.items()))
+        else:
+            for k, df in inter.items():
+                df.write.mode("overwrite").parquet(f"{work}/{k}")
         g = spark.read.parquet(f"{work}/activity")
         d = spark.read.parquet(f"{work}/orders")
         silver = {
@@ -72,15 +89,14 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
             "daily_channel_attribution": lambda: V.daily_channels(bronze, as_of, lookback),
             "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback),
         }
-    for name, build in silver.items():
-        write(name, build())
+    silver["top_products"] = lambda: V.top_products(bronze, as_of, top_lookback)
+    run_all(silver)
     if report["daily_traffic"]["error"] is None and report["daily_orders"]["error"] is None:
         t = spark.read.parquet(report["daily_traffic"]["path"])
         o = spark.read.parquet(report["daily_orders"]["path"])
         write("dashboard_kpi", V.dashboard_kpi(t, o))
     else:
         report["dashboard_kpi"] = {"path": None, "seconds": 0.0, "error": "silver input failed"}
-    write("top_products", V.top_products(bronze, as_of, top_lookback))
     return report
 
 
