@@ -59,16 +59,16 @@ def scan(bronze: DataFrame, start=None, end=None, shop_id: str | None = None,
     return bronze.filter(scan_filter(start, end, shop_id, event_types))
 
 
-def write(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
+def write(df: DataFrame, path: str, mode: str = "append") -> None:
     """Batch append of events.
 
-    A range repartition on (event_month, shop_id, created_at) - boundaries from a sample,
-    so a huge month or shop is split over many tasks instead of landing in one - gives
-    every task a contiguous slice: it writes into one or two month directories (no
-    small-file explosion when a backfill spans years) and its file is already clustered
-    by (shop_id, created_at) for min/max skipping. Streaming appends use the file sink."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "event_month", "shop_id", "created_at")
+    ``REBALANCE(event_month)`` gives every write task rows of one month, so a backfill over
+    years does not scatter small files into every month directory; AQE splits a month that
+    is too big for one task into several (skew) and merges small ones - without the extra
+    sampling pass over the input that a range repartition would cost. Within each file the
+    rows are sorted by (shop_id, created_at) so that min/max statistics prune well.
+    Streaming appends use the file sink instead."""
+    (df.hint("rebalance", "event_month")
        .sortWithinPartitions("event_month", "shop_id", "created_at")
        .write.mode(mode).partitionBy("event_month").parquet(path))
 
