@@ -97,9 +97,29 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
         write("dashboard_kpi", V.dashboard_kpi(t, o))
     else:
         report["dashboard_kpi"] = {"path": None, "seconds": 0.0, "error": "silver input failed"}
+    if all(v["error"] is None for v in report.values()):
+        # switch readers to the new version only when every view of it was written
+        spark.createDataFrame([(version,)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(f"{root.rstrip('/')}/_current")
     return report
 
 
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The last completely written version (None before the first refresh)."""
+    try:
+        row = spark.read.text(f"{root.rstrip('/')}/_current").first()
+    except Exception:  # noqa: BLE001 - no pointer yet
+        return None
+    return row["value"] if row else None
+
+
+def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    v = current_version(spark, root)
+    if v is None:
+        raise FileNotFoundError(f"no complete refresh under {root}")
+    return read_view(spark, root, name, v)
+
+
 def read_view(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
     return spark.read.parquet(view_path(root, name, version))
 

@@ -2,7 +2,7 @@
 
 from shoplens.checks.compare import digest
 from shoplens.plans import views as V
-from shoplens.plans.refresh import read_view, refresh_all
+from shoplens.plans.refresh import current_version, read_current, read_view, refresh_all
 from shoplens.session import checkpoint_root
 from shoplens.sources.bridge import EVENTS_AS_OF, events_bronze
 
@@ -20,3 +20,5 @@ def test_shared_refresh_equals_views(spark):
         assert sorted(got.columns) == sorted(df.columns), name
         assert digest(got.columns, [tuple(r) for r in got.collect()]) == \
             digest(df.columns, [tuple(r) for r in df.collect()]), name
+    assert current_version(spark, root) == "1"
+    assert read_current(spark, root, "daily_geo").count() == ref["daily_geo"].count()
