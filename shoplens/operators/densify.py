@@ -39,7 +39,7 @@ def densify_buckets(keys: DataFrame, facts: DataFrame, key_cols: list[str], star
     ``yyyy-MM-dd'T'HH:mm`` in UTC."""
     first = int(start.replace(tzinfo=dt.timezone.utc).timestamp()) // width_s
     n = int((end - start).total_seconds()) // width_s
-    grid = keys.select(*key_cols, F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))
+    grid = keys.select(*key_cols, F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + n - 1).cast("long")))
                        .alias("bucket_idx"))
     out = grid.join(facts, key_cols + ["bucket_idx"], "left").fillna(0, subset=value_cols)
     label = F.date_format(F.timestamp_seconds(F.col("bucket_idx") * width_s), "yyyy-MM-dd'T'HH:mm")

@@ -71,7 +71,7 @@ def list_pixels(registry: DataFrame, shop_id: str | None = None, tenant_id: str
     w = Window.partitionBy("shop_id", "tenant_id").orderBy(F.col("created_at").desc(), F.col("id"))
     return r.select("shop_id", "tenant_id", "id", "pixel_type", "pixel_id",
                     F.coalesce("name", F.lit("")).alias("name"), "is_active", "created_at",
-                    F.row_number().over(w).alias("position"))
+                    F.row_number().over(w).cast("long").alias("position"))
 
 
 def active_pixels(registry: DataFrame, shop_id: str | None = None) -> DataFrame:
@@ -80,4 +80,4 @@ def active_pixels(registry: DataFrame, shop_id: str | None = None) -> DataFrame:
     if shop_id is not None:
         r = r.filter(F.col("shop_id") == shop_id)
     w = Window.partitionBy("shop_id").orderBy(F.col("created_at"), F.col("id"))
-    return r.select("shop_id", "pixel_type", "pixel_id", F.row_number().over(w).alias("position"))
+    return r.select("shop_id", "pixel_type", "pixel_id", F.row_number().over(w).cast("long").alias("position"))

@@ -27,7 +27,7 @@ def top_k(df: DataFrame, metric: str, tie: list[str], k: int) -> DataFrame:
 def top_k_per_group(df: DataFrame, group: list[str], metric: str, tie: list[str], k: int,
                     rank_col: str = "rank") -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*_order(metric, tie))
-    return (df.withColumn(rank_col, F.row_number().over(w))
+    return (df.withColumn(rank_col, F.row_number().over(w).cast("long"))
               .filter(F.col(rank_col) <= k))
 
 
