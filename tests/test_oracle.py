@@ -21,6 +21,11 @@ def test_matches_oracle(spark, con, key):
     drows = r.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert digest(df.columns, [tuple(x) for x in df.collect()]) == digest(dcols, drows)
+    # the column types agree as well
+    types = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE",
+             "boolean": "BOOLEAN"}
+    dtypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[key]}").fetchall()}
+    assert {c: types.get(t, t) for c, t in df.dtypes} == dtypes
 
 
 def test_every_oracle_has_a_query():
