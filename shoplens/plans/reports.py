@@ -37,6 +37,11 @@ def _days(df: DataFrame, w: Win) -> DataFrame:
 
 
 def _created(df: DataFrame, w: Win) -> DataFrame:
+    """Half-open window on created_at; on a partitioned bronze table the month predicate is
+    added too, so only the window's month directories are listed and read."""
+    if "event_month" in df.columns:
+        from ..sources.bronze import scan_filter
+        return df.filter(scan_filter(w[0], w[1]))
     lo = F.to_timestamp(F.lit(sql_ts(w[0])))
     hi = F.to_timestamp(F.lit(sql_ts(w[1])))
     return df.filter((F.col("created_at") >= lo) & (F.col("created_at") < hi))
