@@ -78,12 +78,16 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     (array<variant>) and ``reason`` (NULL = accepted)."""
     batch_id = F.sha2(F.concat_ws("|", F.col("ingest_ts").cast("string"), F.coalesce("remote_addr", F.lit("")),
                                   F.coalesce("body", F.lit(""))), 256)
-    too_big = F.octet_length("body") > MAX_BODY_BYTES
+    # the body is read up to the byte limit; a longer body is cut there (and a cut
+    # document no longer parses, unless only trailing blanks were cut)
+    body = F.when(F.octet_length("body") > MAX_BODY_BYTES,
+                  F.decode(F.substring(F.encode("body", "UTF-8"), 1, MAX_BODY_BYTES), "UTF-8")
+                  ).otherwise(F.col("body"))
     # The body must be parsed once per batch. A later filter on ``reason`` would otherwise
     # be pushed below this projection with ``v`` substituted into each of its ~20
     # references (one JSON parse each). Catalyst neither inlines nor pushes filters through
     # a non-deterministic expression, so the (always true) partition-id guard pins ``v``.
-    v = F.when(~too_big & (F.spark_partition_id() >= 0), F.try_parse_json("body"))
+    v = F.when(F.spark_partition_id() >= 0, F.try_parse_json(body))
     d = raw.select("*", batch_id.alias("batch_id"), v.alias("v"))
     ev_v = _field(F.col("v"), "events")
     events = F.when(ev_v.isNull() | _kind(ev_v).startswith("ARRAY"),
