@@ -338,9 +338,12 @@ def top_shops(kpi: DataFrame, w: Win, sort: str = "revenue", limit: int | None =
     return top_k(g, metric, ["shop_id"], clamp_limit(limit))
 
 
-def active_shops(kpi: DataFrame, w: Win) -> DataFrame:
+def active_shops(kpi: DataFrame, w: Win, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Shops with any activity in the window; ``approx`` uses a HyperLogLog++ sketch
+    (one mergeable register array per task instead of a shuffle of the distinct keys)."""
     act = (F.col("total_revenue_cents") > 0) | (F.col("order_count") > 0) | (F.col("unique_visitors") > 0)
-    return _days(kpi, w).filter(act).agg(F.count_distinct("shop_id").alias("active_shops_count"))
+    cnt = F.approx_count_distinct("shop_id", rsd) if approx else F.count_distinct("shop_id")
+    return _days(kpi, w).filter(act).agg(cnt.alias("active_shops_count"))
 
 
 # ---------------------------------------------------------------------------------------

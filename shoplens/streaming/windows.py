@@ -52,3 +52,13 @@ def visitor_sessions(bronze_stream: DataFrame, gap_s: int = SESSION_GAP_SECONDS,
             .agg(F.count(F.lit(1)).alias("events"))
             .select("shop_id", "visitor_id", F.col("s.start").alias("session_start"),
                     F.col("s.end").alias("session_end"), "events"))
+
+
+def daily_unique_sessions_approx(bronze_stream: DataFrame, watermark: str = "2 hours",
+                                 rsd: float = 0.01) -> DataFrame:
+    """Approximate form: a HyperLogLog++ sketch per (day, shop) window; state is a fixed
+    register array per window instead of one key per session."""
+    b = bronze_stream.filter(F.col("event_type").isin(*BROWSE_TYPES)).withWatermark("created_at", watermark)
+    return (b.groupBy(F.window("created_at", "1 day").alias("w"), "shop_id")
+             .agg(F.approx_count_distinct("session_id", rsd).alias("unique_sessions"))
+             .select("shop_id", F.to_date(F.col("w.start")).alias("day"), "unique_sessions"))

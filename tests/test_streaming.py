@@ -42,3 +42,18 @@ def test_bronze_append_counts_all_accepted_events(spark):
     got = E.queries()["bronze_append"](spark, SF).agg(F.sum("events")).first()[0]
     want = E.queries()["flatten_events"](spark, SF).count()
     assert got == want
+
+
+def test_approx_forms_close_to_exact(spark):
+    from shoplens.plans import reports as R
+    from shoplens.streaming.windows import daily_unique_sessions_approx
+    b = events_bronze(spark, SF)
+    kpi = V.dashboard_kpi(V.daily_traffic(b, EVENTS_AS_OF), V.daily_orders(b, EVENTS_AS_OF))
+    w = R.window("30d", EVENTS_AS_OF)
+    assert R.active_shops(kpi, w, approx=True).first()[0] == R.active_shops(kpi, w).first()[0]
+    # the approximate streaming form, evaluated on the static frame, is within 5 % per day
+    approx = {(r["shop_id"], r["day"]): r["unique_sessions"] for r in daily_unique_sessions_approx(b).collect()}
+    t = V.daily_traffic(b, EVENTS_AS_OF).groupBy("shop_id", "day").agg(F.sum("unique_sessions").alias("u"))
+    for r in t.collect():
+        if r["u"]:
+            assert abs(approx[(r["shop_id"], r["day"])] - r["u"]) <= max(1, 0.05 * r["u"])
