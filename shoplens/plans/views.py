@@ -156,15 +156,15 @@ def _session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
     """Per (shop, session): the canonical geo and the set of browsing days.
 
     Canonical geo = the earliest browsing event that has a country, else the earliest
-    browsing event (ties broken by event id). ``min`` over a struct whose leading fields
-    are the sort key is a hash aggregate - no sort, partial aggregation map-side.
-    The day set is bounded by the lookback window (at most ~400 days)."""
+    browsing event (ties broken by event id): ``min`` over a struct whose leading fields
+    are the sort key, no window and no sort by time. The day set is bounded by the
+    lookback window (at most ~400 days)."""
     b = (_since(bronze, lower_bound(as_of, lookback)).filter(_is_browse())
          .select("shop_id", "session_id", _day(),
                  F.struct(F.col("geo_country").isNull().alias("no_geo"), "created_at", "id",
                           *GEO).alias("m")))
-    # one aggregation per session (partial map-side, then final): the struct minimum
-    # needs a sort-based aggregate (variable-length buffer), so it is done only once
+    # one aggregation per session, partial map-side then final; together with the
+    # collect_set it plans as an ObjectHashAggregate (hash-based, spills by sorting)
     return b.groupBy("shop_id", "session_id").agg(
         F.min("m").alias("m"), F.collect_set("day").alias("days"))
 
