@@ -57,3 +57,13 @@ def test_approx_forms_close_to_exact(spark):
     for r in t.collect():
         if r["u"]:
             assert abs(approx[(r["shop_id"], r["day"])] - r["u"]) <= max(1, 0.05 * r["u"])
+
+
+def test_affected_days_with_horizon(spark):
+    from shoplens.streaming.incremental import affected_days
+    b = events_bronze(spark, SF)
+    last_day = b.agg(F.max(F.to_date("created_at"))).first()[0]
+    batch = b.filter(F.to_date("created_at") == last_day)
+    exact = {r["day"] for r in affected_days(batch, b).collect()}
+    bounded = {r["day"] for r in affected_days(batch, b, horizon_days=2).collect()}
+    assert last_day in exact and bounded <= exact and last_day in bounded
