@@ -93,7 +93,12 @@ def read_kafka(spark: SparkSession, bootstrap_servers: str, topic: str,
           .option("subscribe", topic).option("includeHeaders", "true"))
     if streaming and max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-    k = r.load()
+    return kafka_records_to_raw(r.load())
+
+
+def kafka_records_to_raw(k: DataFrame) -> DataFrame:
+    """Kafka records (value binary, timestamp, headers array<struct<key, value binary>>)
+    -> the raw envelope schema."""
     addr = F.filter(F.col("headers"), lambda h: h["key"] == "remote_addr")
     return k.select(F.col("timestamp").alias("ingest_ts"),
                     F.try_element_at(addr, F.lit(1))["value"].cast("string").alias("remote_addr"),

@@ -106,3 +106,15 @@ def test_body_limit(spark):
         "x" * MAX_BODY_BYTES + '"}]}'
     got = [r["reason"] for r in parse_batches(_raw(spark, [padded, long_name])).collect()]
     assert got == [None, "invalid_json"]
+
+
+def test_kafka_records_map_to_raw(spark):
+    import datetime as dt
+
+    from shoplens.sources.envelopes import kafka_records_to_raw
+    rows = [(b'{"shop_id":"s","events":[]}', dt.datetime(2026, 6, 22, 12), [("remote_addr", b"1.2.3.4:5"), ("x", b"y")]),
+            (b"{}", dt.datetime(2026, 6, 22, 13), [])]
+    k = spark.createDataFrame(rows, "value binary, timestamp timestamp, headers array<struct<key: string, value: binary>>")
+    got = [tuple(r) for r in kafka_records_to_raw(k).collect()]
+    assert got == [(dt.datetime(2026, 6, 22, 12), "1.2.3.4:5", '{"shop_id":"s","events":[]}'),
+                   (dt.datetime(2026, 6, 22, 13), None, "{}")]
