@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, lang_id
+from shoplens.llm import bpe, lang_id, pii
 from shoplens.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,8 +26,22 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("lang_score").alias("score")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of the base spans; ``spans`` and ``n_more`` have the added ones too."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(pii.listing(base), 256).alias("base_sha256"),
+                        pii.listing(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_more"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op6_lang_id": op6_lang_id,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
