@@ -37,6 +37,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # a run of digits is tried from its start only: from within, the rest would be the same
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]+)")
+_IP_HINT = re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]")
@@ -66,13 +67,13 @@ _DIGIT_TOKEN = re.compile(r"[^\W_]+")
 _DIGIT_HINT = re.compile(rf"(?<!\w){_DIGIT_WORD}[ ,-]{{1,2}}{_DIGIT_WORD}(?!\w)", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[ ](?=[0-9])", re.I)
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])[0-9OolI]{2,}(?![A-Za-z0-9])")
-_LETTER_HINT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
+_LETTER_HINT = re.compile(r"[0-9](?:[OolI]|(?<=[OolI].))")
 _BRACKET_AT = re.compile(r" {0,3}[\[({<] {0,2}(?:at|@) {0,2}[\])}>] {0,3}", re.I)
 _BRACKET_DOT = re.compile(r" {0,3}[\[({<] {0,2}(?:dot|\.) {0,2}[\])}>] {0,3}", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9]) {1,3}dot {1,3}(?=[A-Za-z0-9])", re.I)
 _WORD_AT = re.compile(r"(?<=[A-Za-z0-9._%+-]) {1,3}at {1,3}(?=((?:[A-Za-z0-9-]++\.)+)([A-Za-z]+))", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?: {1,3}@ {0,3}| {0,3}@ {1,3})(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])")
-_MAIL_HINT = re.compile(r"[\[({<] {0,2}(?:at|@|dot|\.) {0,2}[\])}>]| dot | @|@ ", re.I)
+_BRACKET_HINT = re.compile(r"[\[({<] {0,2}(?:at|@|dot|\.) {0,2}[\])}>]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -100,7 +101,8 @@ def _small(part: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """Spans of the plain patterns, by start, then kind."""
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_small, m[0].split(".")))]
+    if _IP_HINT.search(text):
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_small, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _NOT_DIGITS.sub("", m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -187,20 +189,29 @@ def _letter_digits(m: re.Match) -> list[tuple[str, int, int]]:
     return [({"O": "0", "o": "0", "l": "1", "I": "1"}.get(c, c), a + k, a + k + 1) for k, c in enumerate(m[0])]
 
 
+def _mail_hint(text: str, lower: str) -> bool:
+    return " dot " in lower or " @" in text or "@ " in text or bool(_BRACKET_HINT.search(text))
+
+
+def _digit_hint(text: str, lower: str) -> bool:
+    words = lower.replace("-", " ").replace(",", " ").split()
+    return not SPELLED.keys().isdisjoint(words) and bool(_DIGIT_HINT.search(text))
+
+
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, None if there is nothing to rewrite."""
-    odd = bool(_ODD.search(text))
-    if not (odd or _MAIL_HINT.search(text) or _DIGIT_HINT.search(text) or _LETTER_HINT.search(text)):
+    odd, lower = not text.isascii() and bool(_ODD.search(text)), text.lower()
+    if not (odd or _mail_hint(text, lower) or _digit_hint(text, lower) or _LETTER_HINT.search(text)):
         return None
     tape = Tape(text)
     if odd:
         tape.sub(_ODD, _odd)
-    if _DIGIT_HINT.search(tape.text):
+    if _digit_hint(tape.text, tape.text.lower()):
         tape.sub(_DIGIT_RUN, _digits)
         tape.sub(_PLUS, lambda m: [("+", *m.span())])
     if _LETTER_HINT.search(tape.text):
         tape.sub(_LETTER_DIGITS, _letter_digits)
-    if _MAIL_HINT.search(tape.text):
+    if _mail_hint(tape.text, tape.text.lower()):
         tape.sub(_BRACKET_AT, lambda m: [("@", *m.span())])
         tape.sub(_BRACKET_DOT, tape.dot)
         tape.sub(_WORD_DOT, tape.dot)
