@@ -9,8 +9,8 @@ Documents with equal sets are one class, represented by the smallest doc_id. Cla
 a band are candidates, taken in two steps, so that no group is paired out in full:
   1. each band group's most connected class is compared with every other class of the group,
      and the links found give a first set of components;
-  2. groups that still hold several components are taken again, but only pairs across
-     components whose sketches come near the threshold go on. Large groups are taken in blocks.
+  2. groups that still hold several components are taken again, but only for pairs
+     across components whose sketches come near the threshold, in blocks of bounded size.
 Every link is confirmed on the full sets. Components are contracted on the cluster.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing.
@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 8
 #: deviations of the estimate below the threshold
 SLACK = 6.0
 #: classes of a group that are paired in one block
-BLOCK = 1024
+BLOCK = 512
 
 _RNG = np.random.default_rng(20_011)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,15 +168,15 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _rows(classes: DataFrame) -> DataFrame:
-    """(id, key) for each band of each class."""
+    """(id, band, key) for each band of each class."""
     return classes.select("id", F.posexplode("sketch").alias("band", "value")) \
-        .select("id", F.xxhash64("band", "value").alias("key"))
+        .select("id", "band", F.xxhash64("band", "value").alias("key"))
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of each group's most connected class with the others of the group, each pair once."""
     groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(rows.join(groups, "key"), "groups")
+    shared = staged(rows.select("id", "key").join(groups, "key"), "groups")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = shared.join(degree, "id")
     leader = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")) \
@@ -185,57 +185,94 @@ def star_pairs(rows: DataFrame) -> DataFrame:
         .select("a", "b").distinct()
 
 
-def cross_pairs(classes: DataFrame, rows: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs across components (``parts``: node, component) that share a group and whose sketches
-    come near the threshold. Groups are compared in blocks of about BLOCK classes."""
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole cells (rows of one key, lo, hi) out of batches that are sorted by them."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        cell = batch[["key", "lo", "hi"]].to_numpy()
+        cut = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+        for i, j in zip(np.concatenate([[0], cut[:-1]]), cut, strict=False):
+            yield batch.iloc[i:j]
+        rest = batch.iloc[cut[-1] if len(cut) else 0:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _near(cell: pd.DataFrame, enough: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each row of a cell, the rows it is to be compared with: of other components, with a
+    sketch that comes near. A pair that shares several bands counts in the first one only."""
+    sk = np.stack(cell["sketch"].to_list()).astype(np.int64)
+    sk8 = sk.view(np.uint8)
+    comp, block, band = cell["component"].to_numpy(), cell["block"].to_numpy(), int(cell["band"].iloc[0])
+    lo, hi = cell["lo"].iloc[0], cell["hi"].iloc[0]
+    rest = np.flatnonzero(block == hi)
+    for k in np.flatnonzero(block == lo):
+        some = rest[comp[rest] != comp[k]]
+        if lo == hi:
+            some = some[some > k]
+        some = some[(sk8[some] == sk8[k]).sum(axis=1) >= enough]
+        some = some[~(sk[some, :band] == sk[k, :band]).any(axis=1)]
+        if len(some):
+            yield k, some
+
+
+def cross_links(classes: DataFrame, rows: DataFrame, parts: DataFrame, docs: DataFrame,
+                percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) across components (``parts``: node, component) between classes that share a
+    group; enough of them to join what belongs together, each confirmed on the full sets.
+
+    A group is compared in cells, pairs of blocks of about BLOCK classes. Sketches tell which
+    rows have anything to be compared with; only those get their sets, in the same cells.
+    """
     placed = rows.join(parts.withColumnRenamed("node", "id"), "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
                                       F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-    members = staged(placed.join(mixed, "key"), "mixed")
+    cells = placed.join(mixed, "key") \
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")) \
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
+        .join(classes.select("id", "sketch"), "id") \
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+        .select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"),
+                "band", "block", "id", "component", "sketch")
     enough = needed(percent)
 
-    @F.pandas_udf("boolean")
-    def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        if not len(left):
-            return pd.Series([], dtype=bool)
-        a = np.stack(left.to_list()).astype(np.int64).view(np.uint8)
-        b = np.stack(right.to_list()).astype(np.int64).view(np.uint8)
-        return pd.Series((a == b).sum(axis=1) >= enough)
-
-    # small groups: a join within the group; each pair once, however many groups share it
-    few = members.where(F.col("n") <= 64).select("key", "id", "component")
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = few.withColumnRenamed("id", "a").join(other, "key").where("a < b AND component <> cb") \
-        .select("a", "b").distinct()
-    sketch = classes.select("id", "sketch")
-    pairs = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b") \
-        .where(close("sa", "sb")).select("a", "b")
-
-    # large groups: a grid of blocks, compared in the worker; only near pairs come out
-    many = members.where(F.col("n") > 64).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")) \
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .join(sketch, "id") \
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"),
-                "block", "id", "component", "sketch")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sk = np.stack(group["sketch"].to_list()).astype(np.int64).view(np.uint8)
-        ids, comp, block = (group[c].to_numpy() for c in ("id", "component", "block"))
-        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-        out = []
-        rest = np.flatnonzero(block == hi)
-        for k in np.flatnonzero(block == lo):
-            some = rest[comp[rest] != comp[k]]
-            if lo == hi:
-                some = some[some > k]
-            near = some[(sk[some] == sk[k]).sum(axis=1) >= enough]
-            out += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in near]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    large = many.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
-    return pairs.union(large).distinct()
+    def to_compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _cells(batches):
+            use = {r for k, some in _near(cell, enough) for r in (k, *some)}
+            if use:
+                yield cell.iloc[sorted(use)]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _cells(batches):
+            ids, comp = cell["id"].to_numpy(), cell["component"].to_numpy().copy()
+            sets = [[np.frombuffer(x, dtype=np.uint64) for x in s] for s in cell["sets"]]
+            found = []
+            for k, some in _near(cell, enough):
+                for j in some:
+                    if comp[k] != comp[j] and any(linked(x, y, percent) for x in sets[k] for y in sets[j]):
+                        found.append((ids[k], ids[j]))
+                        comp[comp == comp[j]] = comp[k]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    by = ["key", "lo", "hi"]
+    near = staged(cells.repartition(*by).sortWithinPartitions(*by).mapInPandas(to_compare, cells.schema), "near")
+
+    @F.pandas_udf("binary")
+    def as_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+    ids = near.select("id").distinct()
+    sets = staged(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+                  .select("id", as_set("text").alias("one")).groupBy("id")
+                  .agg(F.collect_set("one").alias("sets")), "sets")
+    return near.join(sets, "id").repartition(*by).sortWithinPartitions(*by) \
+        .mapInPandas(compare, "a long, b long").distinct()
 
 
 def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -250,9 +287,9 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = _rows(classes)
     links = staged(verified(staged(star_pairs(rows), "pairs"), docs, percent), "links")
     parts = components(links)
-    more = staged(cross_pairs(classes, rows, parts, percent), "pairs")
+    more = staged(cross_links(classes, rows, parts, docs, percent), "links")
     if not more.isEmpty():
-        parts = components(links.union(staged(verified(more, docs, percent), "links")))
+        parts = components(links.union(more))
     of_class = first.join(parts.withColumnRenamed("node", "id"), "id", "left") \
         .select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")) \
