@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, lang_id, minhash, pii
+from shoplens.llm import bpe, fingerprint, lang_id, minhash, pii
 from shoplens.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,10 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("lang_score").alias("score")))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the digest are of the base spans; ``spans`` and ``n_more`` have the added ones too."""
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,6 +51,9 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_minhash": op4_minhash,
     "op6_lang_id": op6_lang_id,
+    "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_fingerprint": fingerprint.ORACLE_SQL,
+}
