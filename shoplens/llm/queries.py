@@ -7,9 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, fingerprint, lang_id, minhash, mixing, pii
+from shoplens.llm import bpe, fingerprint, lang_id, minhash, mixing, pii, quality, toxicity
 from shoplens.llm.common import fold, table
 
+#: a score from here on counts as label 1
+DECIDED = 0.3
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -26,6 +29,25 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _scored(spark: SparkSession, sf_dir: str, module, label: str, score: str, parts: int, out: int) -> DataFrame:
+    """A text classifier fitted to ``labels.<label>`` outside the fold ``out`` of ``parts``, on all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), parts) == out
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    model = module.fit(docs.where(~held_out), labels.where(~held_out))
+    return module.predict(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(score).alias("score"),
+        (F.col(score) >= DECIDED).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", "toxicity", 4, 2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", "quality", 5, 0)
+
+
 def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -56,7 +78,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_minhash": op4_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_lang_id": op6_lang_id,
+    "op8_quality": op8_quality,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
 }
