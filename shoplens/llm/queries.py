@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, fingerprint, lang_id, minhash, mixing, pii, quality, toxicity
+from shoplens.llm import ann, bpe, fingerprint, lang_id, minhash, mixing, pii, quality, toxicity
 from shoplens.llm.common import fold, table
 
 #: a score from here on counts as label 1
@@ -25,6 +25,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS).drop("text")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,6 +82,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ann": op3_ann,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_lang_id": op6_lang_id,
