@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,36 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
         return df
     keep = max(1, _SAMPLE_STEPS * rows // n)
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(_SAMPLE_STEPS)) < keep)
+
+
+#: bits of a membership filter at most (8 MB); so many for each id below that
+FILTER_BITS, BITS_PER_ID = 1 << 26, 16
+
+
+def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long) is among ``ids`` (one column, distinct values).
+
+    A broadcast bit filter of bounded size drops most other rows before the join shuffles what is
+    left of ``df``; where there are too many ids for it, it drops fewer, and the join decides.
+    """
+    name = ids.columns[0]
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (BITS_PER_ID * ids.count()).bit_length()))
+    at = F.explode(F.array(*(1 + F.pmod(F.xxhash64(F.lit(seed), F.col(name)), F.lit(bits)) for seed in (1, 2))))
+    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    whole = np.zeros((-(-bits // (1 << 15)), 1 << 12), dtype=np.uint8)
+    for r in rows:
+        whole[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+        table = shared.value
+
+        def has(x: np.ndarray) -> np.ndarray:
+            return table[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1
+
+        return pd.Series(has(a.to_numpy()) & has(b.to_numpy()))
+
+    places = [F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits)).cast("long") for seed in (1, 2)]
+    return df.where(F.col(key).isNotNull()).where(maybe(*places)).join(ids, F.col(key) == F.col(name), "left_semi")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import staged, with_struct
+from shoplens.llm.common import rows_of, staged, with_struct
 from shoplens.llm.components import components
 
 WORDS = 5
@@ -145,7 +145,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     """Those of ``pairs`` (a, b) whose documents' full sets are near enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # rows that share a doc_id are one document; any one of their texts that is in the class will do
-    texts = staged(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "candidates")
+    texts = staged(rows_of(docs.select(F.col("doc_id").alias("id"), "text"), "id", staged(ids.toDF("of"), "ids")),
+                   "candidates")
     texts = texts.groupBy("id").agg(F.collect_set("text").alias("texts"))
 
     @F.pandas_udf("boolean")
@@ -173,10 +174,14 @@ def _rows(classes: DataFrame) -> DataFrame:
         .select("id", "band", F.xxhash64("band", "value").alias("key"))
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
+def groups(rows: DataFrame) -> DataFrame:
+    """(id, band, key, n) of the band groups of two classes or more, n being their size."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, "key").select("id", "band", "key", "n")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
     """Pairs of each group's most connected class with the others of the group, each pair once."""
-    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(rows.select("id", "key").join(groups, "key"), "groups")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = shared.join(degree, "id")
     leader = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")) \
@@ -220,18 +225,18 @@ def _near(cell: pd.DataFrame, enough: int) -> Iterator[tuple[int, np.ndarray]]:
             yield k, some
 
 
-def cross_links(classes: DataFrame, rows: DataFrame, parts: DataFrame, docs: DataFrame,
+def cross_links(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataFrame,
                 percent: int = PERCENT) -> DataFrame:
     """Links (a, b) across components (``parts``: node, component) between classes that share a
-    group; enough of them to join what belongs together, each confirmed on the full sets.
+    group (``shared``: see groups); enough of them to join what belongs together, each confirmed on the full sets.
 
     A group is compared in cells, pairs of blocks of about BLOCK classes. Sketches tell which
     rows have anything to be compared with; only those get their sets, in the same cells.
     """
-    placed = rows.join(parts.withColumnRenamed("node", "id"), "id", "left") \
+    placed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
-                                      F.max("component").alias("hi")).where("lo < hi").select("key", "n")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo < hi").select("key")
     cells = placed.join(mixed, "key") \
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
@@ -267,8 +272,8 @@ def cross_links(classes: DataFrame, rows: DataFrame, parts: DataFrame, docs: Dat
     def as_set(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
-    ids = near.select("id").distinct()
-    sets = staged(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    ids = staged(near.select(F.col("id").alias("of")).distinct(), "ids")
+    sets = staged(rows_of(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
                   .select("id", as_set("text").alias("one")).groupBy("id")
                   .agg(F.collect_set("one").alias("sets")), "sets")
     return near.join(sets, "id").repartition(*by).sortWithinPartitions(*by) \
@@ -284,10 +289,10 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = staged(known.join(first.withColumnRenamed("set_key", "k"),
                                 (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("k")))
                      .groupBy("id", "set_key").agg(F.first("sketch").alias("sketch")).select("id", "sketch"), "classes")
-    rows = _rows(classes)
-    links = staged(verified(staged(star_pairs(rows), "pairs"), docs, percent), "links")
+    shared = staged(groups(_rows(classes)), "groups")
+    links = staged(verified(staged(star_pairs(shared), "pairs"), docs, percent), "links")
     parts = components(links)
-    more = staged(cross_links(classes, rows, parts, docs, percent), "links")
+    more = staged(cross_links(classes, shared, parts, docs, percent), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
     of_class = first.join(parts.withColumnRenamed("node", "id"), "id", "left") \
