@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import ann, bpe, fingerprint, lang_id, minhash, mixing, pii, quality, toxicity
+from shoplens.llm import ann, bpe, fingerprint, lang_id, minhash, mixing, pii, quality, toxicity, warc
 from shoplens.llm.common import fold, table
 
 #: a score from here on counts as label 1
@@ -49,6 +49,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, "toxic", "toxicity", 4, 2)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality, "quality", "quality", 5, 0)
 
@@ -86,10 +91,12 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_lang_id": op6_lang_id,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
+    "op7_warc": warc.ORACLE_SQL,
     "op9_fingerprint": fingerprint.ORACLE_SQL,
 }
