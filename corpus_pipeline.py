@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
 and reread as the next stage's ``docs``. All stages but the last return the columns of
-``documents``; each works on whatever its predecessor kept.
+``documents``; each works on whatever its predecessor kept. Rows with nulls, empty and very
+long texts pass as the stages' operators define it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import bpe, lang_id
+from shoplens.llm import bpe, lang_id, minhash, mixing, pii
 from shoplens.llm.common import fold, prepare, staged, table
 from shoplens.llm.queries import RANKS
 
@@ -19,7 +20,7 @@ MIN_LANG_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of unknown or doubtful language."""
+    """Rejects documents without a letter and those of doubtful language."""
     prepare(spark)
     model = lang_id.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
     found = lang_id.predict(docs, model)
@@ -27,18 +28,49 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each group of near copies; of rows with equal doc_id
+    and text one stays, rows without doc_id all stay."""
+    prepare(spark)
+    gone = minhash.duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]) \
+        .unionByName(left.where("doc_id IS NULL"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the names of its kinds; ``n_chars`` counts the new texts."""
+    prepare(spark)
+    return pii.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that the sources' words come to their targets."""
+    prepare(spark)
+    copies = mixing.mixed(docs).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words"), "copies").distinct()
+    taken = docs.withColumn("words_here", mixing.word_count(F.col("text"))).join(
+        copies, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from"))
+        & (F.col("words_here") == F.col("words")))
+    return taken.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))) \
+        .select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every document; the ids' digests stand for the ids."""
+    """Encodes every document; digests stand for the ids."""
     prepare(spark)
-    return bpe.digests(docs, RANKS)
+    return bpe.digests(docs, RANKS).drop("text")
 
 
 STAGES = [
     ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
     ("tokens", tokens),
 ]
 
-#: the stages can't be expressed in SQL
+#: the stages can't be expressed in SQL; tests hold them against plain versions
 ORACLE_SQL = None
 
 
