@@ -118,6 +118,7 @@ class Index:
         self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(PARTS)]
         self.first = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
         self.found: dict[tuple[int, int, int], np.ndarray] = {}
+        self.repeats = len(np.unique(ids)) < len(ids)
 
     def _probe(self, part: int, key: int, radius: int) -> np.ndarray:
         """All rows whose substring is within ``radius`` of ``key``."""
@@ -144,10 +145,14 @@ class Index:
         while True:
             rows = self.within(code, radius)
             rows = rows[self.ids[rows] != own]
+            score = (self.x[rows] * q).sum(axis=1)
+            if self.repeats:  # of rows with the same vec_id the best counts
+                order = np.lexsort((-score, self.ids[rows]))
+                own_best = order[np.unique(self.ids[rows][order], return_index=True)[1]]
+                rows, score = rows[own_best], score[own_best]
             if len(rows) >= k or radius >= BITS:
                 break
             radius += PARTS
-        score = (self.x[rows] * q).sum(axis=1)
         if len(rows) > 2 * k:
             keep = score >= np.partition(score, -k)[-k]
             rows, score = rows[keep], score[keep]
