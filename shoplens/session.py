@@ -43,9 +43,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("SHOPLENS_DRIVER_MEMORY", "8g")))
-    if not os.environ.get("SHOPLENS_CHECKPOINT_DIR"):
-        b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shoplens-ckpt-"))
-    else:
+    if os.environ.get("SHOPLENS_CHECKPOINT_DIR"):
         b = b.config("spark.checkpoint.dir", os.environ["SHOPLENS_CHECKPOINT_DIR"])
     for k, v in {**DEFAULT_CONF, **REQUIRED_CONF, **(extra or {})}.items():
         b = b.config(k, v)
@@ -54,17 +52,25 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return ensure_conf(spark)
 
 
+def is_single_machine(master: str) -> bool:
+    """``local``, ``local[*]`` and the like; ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` as configured by the cluster. Only when it is unset
-    (tests, local runs) a fresh local folder is created and registered.
+    Uses ``spark.checkpoint.dir`` as configured by the cluster. Only when it is unset on a
+    local master (tests) a fresh local folder is created and registered; on a cluster that
+    would be a folder of one machine, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not is_single_machine(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shoplens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
