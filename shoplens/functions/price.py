@@ -8,6 +8,9 @@ Rules of the event contract:
   a whole value below 100000 is read as roubles (x100), anything else is rounded as is
 * boolean / object / array -> 0
 
+No amount can throw: what does not fit 64 bits becomes the largest (smallest) 64-bit
+number, which the range guard then sends to quarantine with the row.
+
 Storage then turns 0 into NULL (:func:`shoplens.functions.text.nullify_zero`).
 """
 
@@ -21,21 +24,30 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_LONG_LIMIT = 9.2e18
+
+
+def _rounded(x: Column) -> Column:
+    """Half away from zero, kept within 64 bits."""
+    kept = F.greatest(F.lit(-_LONG_LIMIT), F.least(F.lit(_LONG_LIMIT), x))
+    return F.when(F.isnan(x), F.lit(0).cast("long")).otherwise(F.round(kept).cast("long"))
+
+
 def price_text_to_cents(s) -> Column:
     """String branch. ``try_cast`` accepts '15.' and '.5' and rejects '', '.', '1.2.3'
     and commas, exactly like a strict float parser after the character clean-up."""
     cleaned = F.regexp_replace(_c(s), r"[^0-9.,]", "")
     f = cleaned.try_cast("double")
-    whole_roubles = (f < 100000) & (f == F.floor(f))
+    whole_roubles = (f < 100000) & (f % 1 == 0)
     cents = (F.when(f.isNull(), F.lit(0).cast("long"))
-              .when(whole_roubles, f.cast("long") * 100)
-              .otherwise(F.round(f).cast("long")))
+              .when(whole_roubles, _rounded(f * 100))
+              .otherwise(_rounded(f)))
     return F.when(_c(s).isNull(), F.lit(0).cast("long")).otherwise(cents)
 
 
 def price_number_to_cents(x) -> Column:
     """Numeric branch: half away from zero, the number already is in cents."""
-    return F.round(_c(x).cast("double")).cast("long")
+    return _rounded(_c(x).cast("double"))
 
 
 def price_variant_to_cents(v) -> Column:

@@ -1,17 +1,18 @@
 """Address-in-network range join (geo lookup).
 
-``ip BETWEEN net_lo AND net_hi`` alone can only be planned as a nested loop join. The
-network table is exploded to fixed-width bucket keys and joined on equality of the
-bucket plus the range as a residual condition:
-
-* IPv4 (mapped) addresses bucket by their /16, IPv6 by their /32;
-* a network wider than its bucket is exploded into every bucket it covers (bounded:
-  at most 65,536 keys for a /0, networks of a geo database are far narrower);
-* the dimension side is broadcast only when its row count was checked to be under
-  ``broadcast_rows``; otherwise both sides shuffle on the bucket key (AQE can still
-  switch to a broadcast at runtime when the real size is small).
-
-Networks must not overlap; then each address matches at most one network.
+``ip BETWEEN net_lo AND net_hi`` alone can only be planned as a nested loop join. Addresses are
+32 hex digits, so a network has one key: the digits its two ends share (none for a network
+that spans the whole space). An address lies in the network only if it begins with that key, so
+it is looked up by its beginnings of the lengths that occur among the keys (at most 33), an
+equi-join with the range as residual condition:
+
+* a network is one row, however wide it is;
+* networks with the same key straddle a border between the key's next digits, and since networks
+  must not overlap, a key has at most 15 of them;
+* each distinct address is looked up once, by itself; the labels are joined back, so no payload
+  is multiplied or moved by a network key. Rows without an address are dealt out by a hash.
+
+Whether the network side is broadcast is Spark's decision by its size in bytes.
 """
 
 from __future__ import annotations
@@ -20,52 +21,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import pick_name, region_relabel
-from ..functions.ip import V4_PREFIX
-
-BROADCAST_ROWS = 2_000_000
-
-
-def _is_v4(hex_col: Column) -> Column:
-    return hex_col.startswith(V4_PREFIX)
-
 
-def address_bucket(hex_col: Column) -> Column:
-    return F.when(_is_v4(hex_col), F.substring(hex_col, 1, 28)).otherwise(F.substring(hex_col, 1, 8))
+DIGITS = 32
 
 
-def network_buckets(networks: DataFrame) -> DataFrame:
-    lo, hi = F.col("net_lo"), F.col("net_hi")
-    v4 = _is_v4(lo) & _is_v4(hi)
-    lo16 = F.conv(F.substring(lo, 25, 4), 16, 10).cast("long")
-    hi16 = F.conv(F.substring(hi, 25, 4), 16, 10).cast("long")
-    lo32 = F.conv(F.substring(lo, 1, 8), 16, 10).cast("long")
-    hi32 = F.conv(F.substring(hi, 1, 8), 16, 10).cast("long")
-    keys = F.when(v4, F.transform(F.sequence(lo16, hi16),
-                                  lambda i: F.concat(F.lit(V4_PREFIX), F.lpad(F.lower(F.hex(i)), 4, "0"))))\
-        .otherwise(F.transform(F.sequence(lo32, hi32), lambda i: F.lpad(F.lower(F.hex(i)), 8, "0")))
-    return networks.select("*", F.explode(keys).alias("bucket"))
+def _shared_digits(lo: Column, hi: Column) -> Column:
+    """Number of leading digits that both ends share."""
+    same = F.transform(F.sequence(F.lit(1), F.lit(DIGITS)), lambda k: F.substring(lo, F.lit(1), k) == F.substring(hi, F.lit(1), k))
+    return F.size(F.filter(same, lambda x: x))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after checking the row count (one cheap job on a dimension)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def network_keys(networks: DataFrame) -> DataFrame:
+    """Networks with ``digits`` and ``key``, their ends' common beginning."""
+    d = networks.withColumn("digits", _shared_digits(F.col("net_lo"), F.col("net_hi")))
+    return d.withColumn("key", F.substring("net_lo", F.lit(1), F.col("digits")))
 
 
-def geo_lookup(df: DataFrame, ip_hex: str, networks: DataFrame,
-               broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+def geo_lookup(df: DataFrame, ip_hex: str, networks: DataFrame) -> DataFrame:
     """Adds geo_country, geo_subject, geo_city (relabelled; NULLs on a miss)."""
-    nb = network_buckets(networks).select(
-        "bucket", "net_lo", "net_hi", F.col("country_iso").alias("_country"),
+    nets = network_keys(networks).select(
+        "digits", "key", "net_lo", "net_hi", F.col("country_iso").alias("_country"),
         F.col("subj_iso").alias("_subj_iso"), pick_name("subj_names").alias("_subject"),
         pick_name("city_names").alias("_city"))
-    if broadcast_rows is not None:
-        nb = sized_broadcast(nb, broadcast_rows)
-    left = df.withColumn("_bucket", address_bucket(F.col(ip_hex)))
-    cond = ((left["_bucket"] == nb["bucket"]) & (left[ip_hex] >= nb["net_lo"])
-            & (left[ip_hex] <= nb["net_hi"]))
-    j = left.join(nb, cond, "left")
+    lengths = sorted(r["digits"] for r in nets.select("digits").distinct().collect())  # 33 at most
+    beginnings = F.array(*[F.struct(F.lit(n).alias("digits"), F.substring("_ip", 1, n).alias("key")) for n in lengths]) \
+        if lengths else F.array().cast("array<struct<digits: int, key: string>>")
+    asked = df.filter(F.col(ip_hex).isNotNull()).select(F.col(ip_hex).alias("_ip")).distinct() \
+        .select("_ip", F.inline(beginnings))
     country, subject = region_relabel(F.col("_country"), F.col("_subject"), F.col("_subj_iso"))
-    return (j.withColumn("geo_country", F.nullif(country, F.lit("")))
-             .withColumn("geo_subject", F.nullif(subject, F.lit("")))
-             .withColumn("geo_city", F.nullif(F.col("_city"), F.lit("")))
-             .drop("_bucket", "bucket", "net_lo", "net_hi", "_country", "_subj_iso", "_subject", "_city"))
+    found = asked.join(nets, ["digits", "key"]).filter(F.col("_ip").between(F.col("net_lo"), F.col("net_hi"))).select(
+        "_ip", F.nullif(country, F.lit("")).alias("geo_country"), F.nullif(subject, F.lit("")).alias("geo_subject"),
+        F.nullif(F.col("_city"), F.lit("")).alias("geo_city"))
+    plain = [c for c, t in df.dtypes if t in ("string", "timestamp", "bigint", "int")]
+    at = F.coalesce(F.col(ip_hex), F.concat(F.lit("none "), F.xxhash64(*plain).cast("string")))
+    return df.withColumn("_at", at).join(found, F.col("_at") == F.col("_ip"), "left").drop("_at", "_ip")

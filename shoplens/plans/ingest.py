@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EVENT_TYPES, MAX_BODY_BYTES, MAX_EVENTS_PER_BATCH
+from ..constants import MAX_BODY_BYTES, MAX_EVENTS_PER_BATCH
 from ..functions.ip import with_client_ip
 from ..functions.price import price_variant_to_cents
-from ..functions.text import INT32_MAX, INT32_MIN
+from ..functions.text import in_int32, nullify_empty, nullify_zero
 from ..operators.range_join import geo_lookup
-from ..operators.validate import RFC3339, late, parse_rfc3339
+from ..operators.validate import default_timestamp, event_reason
 from ..sources.bridge import BRONZE_COLUMNS
 
 TEXT_FIELDS = ("type", "session_id", "visitor_id", "page_url", "page_title", "referrer", "utm_source",
@@ -64,13 +64,7 @@ def _object_ok_types(o: Column, text_fields=TEXT_FIELDS) -> Column:
 
 
 def _event_reason(e: Column, ingest_ts: Column) -> Column:
-    sid, et, ts = _text(e, "session_id"), _text(e, "type"), _text(e, "timestamp")
-    present = ts.isNotNull() & (ts != "")
-    parsed = parse_rfc3339(ts)
-    return (F.when(sid.isNull() | (sid == ""), F.lit("session_id_required"))
-             .when(et.isNull() | ~et.isin(*EVENT_TYPES), F.lit("invalid_type"))
-             .when(present & parsed.isNull(), F.lit("invalid_timestamp"))
-             .when(present & late(parsed, ingest_ts), F.lit("too_old")))
+    return event_reason(_text(e, "session_id"), _text(e, "type"), _text(e, "timestamp"), ingest_ts)
 
 
 def parse_batches(raw: DataFrame) -> DataFrame:
@@ -110,29 +104,30 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     return d.withColumn("reason", reason)
 
 
-def flatten(accepted: DataFrame, keep_client_geo: bool = False) -> DataFrame:
-    """Accepted batches -> one bronze row per event (array position kept in ``id``).
+MONEY = ("product_price_cents", "order_total_cents", "cost_price_cents")
+
+
+def _bronze_events(keep_client_geo: bool = False) -> Column:
+    """array<struct> of the bronze rows of a batch's events, money still 64 bits wide.
 
-    The per-event columns are built inside one ``transform`` over the batch's events and
-    then ``inline``-d: the lambda is evaluated per element outside the generated code,
-    which keeps the stage's generated method small (a flat projection of ~25 variant
-    extractions after a generator exceeds the JVM method size limit)."""
+    All columns of an event are built inside one ``transform``: the lambda is evaluated per
+    element outside the generated code, which keeps the stage's generated method small (a
+    flat projection of ~25 variant extractions exceeds the JVM method size limit)."""
     env = F.col("v")
 
     def opt(e: Column, name: str) -> Column:
-        return F.nullif(_text(e, name), F.lit(""))
+        return nullify_empty(_text(e, name))
 
     def money(e: Column, name: str) -> Column:
-        return F.nullif(price_variant_to_cents(_field(e, name)), F.lit(0))
+        return nullify_zero(price_variant_to_cents(_field(e, name)))
 
     def one(e: Column, i: Column) -> Column:
-        ts = _text(e, "timestamp")
         geo = [(F.coalesce(F.col(g), opt(e, g)) if keep_client_geo else F.col(g)).alias(g)
                for g in ("geo_country", "geo_subject", "geo_city")]
         return F.struct(
             F.concat_ws("-", F.col("batch_id"), i.cast("string")).alias("id"),
             F.coalesce(opt(e, "shop_id"), _text(env, "shop_id")).alias("shop_id"),
-            F.coalesce(opt(e, "tenant_id"), F.nullif(_text(env, "tenant_id"), F.lit(""))).alias("tenant_id"),
+            F.coalesce(opt(e, "tenant_id"), nullify_empty(_text(env, "tenant_id"))).alias("tenant_id"),
             _text(e, "session_id").alias("session_id"),
             opt(e, "visitor_id").alias("visitor_id"),
             _text(e, "type").alias("event_type"),
@@ -141,36 +136,67 @@ def flatten(accepted: DataFrame, keep_client_geo: bool = False) -> DataFrame:
             money(e, "product_price").alias("product_price_cents"),
             opt(e, "order_id").alias("order_id"),
             money(e, "order_total").alias("order_total_cents"),
-            F.coalesce(F.when(ts.rlike(RFC3339), ts.try_cast("timestamp")), F.col("ingest_ts"))
-             .alias("event_timestamp"),
+            default_timestamp(_text(e, "timestamp"), F.col("ingest_ts")).alias("event_timestamp"),
             F.col("ingest_ts").alias("created_at"),
             F.variant_get(e, "$.cost_price_cents", "bigint").alias("cost_price_cents"),
             _text(e, "category_id").alias("category_id"),
             *geo)
 
-    out = accepted.select(F.inline(F.transform("events", one)))
-    return out.withColumn("event_month", F.trunc(F.to_date("created_at"), "MM"))
+    return F.transform("events", one)
+
+
+def _with_month(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event_month", F.trunc(F.to_date("created_at"), "MM"))
 
 
-def split_range(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose money fits the 32-bit columns, and the quarantined rest (with reason)."""
+def flatten(accepted: DataFrame, keep_client_geo: bool = False) -> DataFrame:
+    """Accepted batches -> one bronze row per event (array position kept in ``id``)."""
+    return _with_month(accepted.select(F.inline(_bronze_events(keep_client_geo))))
+
+
+def _fits() -> Column:
     ok = F.lit(True)
-    for c in ("product_price_cents", "order_total_cents", "cost_price_cents"):
-        ok = ok & (F.col(c).isNull() | F.col(c).between(INT32_MIN, INT32_MAX))
-    good = rows.filter(ok)
-    for c in ("product_price_cents", "order_total_cents", "cost_price_cents"):
-        good = good.withColumn(c, F.col(c).cast("int"))
-    return good.select(*BRONZE_COLUMNS), rows.filter(~ok).withColumn("reason", F.lit("amount_out_of_range"))
+    for c in MONEY:
+        ok = ok & in_int32(c)
+    return ok
 
 
-def ingest(raw: DataFrame, networks: DataFrame, keep_client_geo: bool = False,
-           broadcast_rows: int | None = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bronze rows, rejected batches, quarantined rows). The client address is used for
-    the geo lookup only and is dropped before anything is returned."""
+def outcomes(raw: DataFrame, networks: DataFrame, keep_client_geo: bool = False) -> DataFrame:
+    """Everything ingest makes of ``raw`` in one pass, one parse a batch.
+
+    ``kind`` is ``bronze`` (a stored event), ``quarantine`` (an event of an accepted batch whose
+    amount does not fit 32 bits) or ``rejected`` (a batch, with ``reason`` and ``body``). Only
+    accepted batches are located. The client address is dropped here."""
     b = with_client_ip(parse_batches(raw), "remote_addr", "ip_hex")
-    located = geo_lookup(b, "ip_hex", networks, broadcast_rows).drop("ip_hex", "remote_addr")
-    accepted = located.filter(F.col("reason").isNull())
-    rejected = located.filter(F.col("reason").isNotNull()).select("batch_id", "ingest_ts", "reason", "body")
-    rows = flatten(accepted, keep_client_geo)
-    good, bad = split_range(rows)
-    return good, rejected, bad
+    b = b.withColumn("ip_hex", F.when(F.col("reason").isNull(), F.col("ip_hex"))).drop("remote_addr")
+    located = geo_lookup(b, "ip_hex", networks).drop("ip_hex")
+    rows = located.select(
+        "batch_id", "ingest_ts", F.col("reason"), F.when(F.col("reason").isNotNull(), F.col("body")).alias("body"),
+        F.inline_outer(F.when(F.col("reason").isNull(), _bronze_events(keep_client_geo))))
+    kind = F.when(F.col("reason").isNotNull(), F.lit("rejected")).when(_fits(), F.lit("bronze")) \
+        .otherwise(F.lit("quarantine"))
+    return _with_month(rows.withColumn("kind", kind))
+
+
+def bronze_rows(made: DataFrame) -> DataFrame:
+    good = made.filter(F.col("kind") == "bronze")
+    for c in MONEY:
+        good = good.withColumn(c, F.col(c).cast("int"))
+    return good.select(*BRONZE_COLUMNS)
+
+
+def rejected_batches(made: DataFrame) -> DataFrame:
+    return made.filter(F.col("kind") == "rejected").select("batch_id", "ingest_ts", "reason", "body")
+
+
+def quarantined_rows(made: DataFrame) -> DataFrame:
+    """Events whose amounts do not fit, with these as 64-bit numbers (saturated)."""
+    bad = made.filter(F.col("kind") == "quarantine").withColumn("reason", F.lit("amount_out_of_range"))
+    return bad.select(*BRONZE_COLUMNS, "reason", "batch_id")
+
+
+def ingest(raw: DataFrame, networks: DataFrame, keep_client_geo: bool = False
+           ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bronze rows, rejected batches, quarantined rows) of ``outcomes``."""
+    made = outcomes(raw, networks, keep_client_geo)
+    return bronze_rows(made), rejected_batches(made), quarantined_rows(made)

@@ -34,7 +34,9 @@ def write(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
     raw.write.mode(mode).json(path)
 
 
-def envelopes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def envelopes_from_events(spark: SparkSession, sf_dir: str, extremes: bool = False) -> DataFrame:
+    """``extremes`` gives every 13th and 17th event with an order total one that no integer
+    column holds, as a string of 23 digits or as the number 1e30."""
     b = events_bronze_with_source(spark, sf_dir)
     eid, uid = F.col("event_id"), F.col("user_id")
     hour = F.floor(F.unix_seconds("created_at") / 3600)
@@ -46,6 +48,9 @@ def envelopes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k == 1, F.concat(F.lit('"'), F.format_number(F.col("value"), 2), F.lit('"')))
               .otherwise(cents.cast("string")))
     ts = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    total = cents.cast("string")
+    if extremes:
+        total = F.when(eid % 13 == 0, F.lit('"99999999999999999999999"')).when(eid % 17 == 0, F.lit("1e30")).otherwise(total)
     ev = F.struct(
         eid.alias("_pos"),
         F.col("event_type").alias("type"),
@@ -54,7 +59,7 @@ def envelopes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product_id", "product_name",
         price.alias("product_price"),
         "order_id",
-        F.when(F.col("order_total_cents").isNotNull(), cents.cast("string")).alias("order_total"),
+        F.when(F.col("order_total_cents").isNotNull(), total).alias("order_total"),
         F.when(eid % 19 == 0, F.lit(None)).otherwise(ts).alias("timestamp"),
         F.when(eid % 2 == 0, F.col("shop_id")).otherwise(F.lit("")).alias("shop_id"),
     )

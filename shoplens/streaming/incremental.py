@@ -34,24 +34,9 @@ DAY_VIEWS = ("daily_traffic", "daily_orders", "daily_funnel", "daily_channel_att
              "daily_geo", "dashboard_kpi")
 
 
-def _recent(bronze: DataFrame, batch: DataFrame, horizon_days: int | None) -> DataFrame:
-    """Bronze restricted to ``horizon_days`` before the batch's earliest event (month
-    partitions pruned); None keeps all of bronze (exact for sessions of any length)."""
-    if horizon_days is None:
-        return bronze
-    lo = batch.agg(F.min("created_at")).first()[0]
-    if lo is None:
-        return bronze
-    start = lo - dt.timedelta(days=horizon_days)
-    return bronze.filter((F.col("event_month") >= F.lit(start.date().replace(day=1)))
-                         & (F.col("created_at") >= F.lit(start)))
-
-
-def affected_days(batch: DataFrame, bronze: DataFrame, horizon_days: int | None = None) -> DataFrame:
-    """Days a bronze micro-batch can change. With ``horizon_days`` the lookup of the
-    touched sessions' other days reads only that much recent history (a session is
-    assumed not to span more than the horizon); without it all of bronze is read."""
-    bronze = _recent(bronze, batch, horizon_days)
+def affected_days(batch: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Days a bronze micro-batch can change, looked up in all of bronze by the batch's order and
+    session keys (two narrow scans with semi joins)."""
     day = F.to_date("created_at").alias("day")
     d1 = batch.select("shop_id", day)
     new_p = batch.filter((F.col("event_type") == "purchase") & F.col("order_id").isNotNull()) \
@@ -108,9 +93,9 @@ def write_days(views: dict[str, DataFrame], root: str) -> None:
 
 
 def refresh_batch(spark: SparkSession, batch: DataFrame, bronze: DataFrame, root: str, as_of,
-                  lookback: str | None = V.DAILY_LOOKBACK, horizon_days: int | None = None) -> list[dt.date]:
+                  lookback: str | None = V.DAILY_LOOKBACK) -> list[dt.date]:
     """Recompute and overwrite the days a bronze micro-batch affects; returns the days."""
-    days = affected_days(batch, bronze, horizon_days).select("day").distinct()
+    days = affected_days(batch, bronze).select("day").distinct()
     # bounded by the lookback window (<= ~400 dates): safe to bring to the driver
     day_list = sorted(r["day"] for r in days.collect())
     if not day_list:
@@ -119,16 +104,23 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, bronze: DataFrame, root
     return day_list
 
 
-def start_incremental_refresh(spark: SparkSession, bronze_path: str, root: str, checkpoint: str, as_of,
-                              trigger: str | None = "1 minute", horizon_days: int | None = None):
+def start_incremental_refresh(spark: SparkSession, bronze_path: str, root: str, checkpoint: str, as_of=None,
+                              trigger: str | None = "1 minute", max_files_per_trigger: int = 100):
     """Stream the bronze table (file source over the ingest sink) into day-partitioned
-    views; ``trigger=None`` processes what is there and stops."""
+    views; ``trigger=None`` processes what is there and stops.
+
+    Without ``as_of`` each micro-batch counts its lookback from its own last event, so the window
+    moves with the data. A day is recomputed from all of bronze as it is then; rows that arrived
+    after the micro-batch are in it already and come again with their own."""
     from ..sources.bronze import BRONZE_SCHEMA, read
 
-    stream = spark.readStream.schema(BRONZE_SCHEMA).parquet(bronze_path)
+    stream = spark.readStream.schema(BRONZE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger) \
+        .parquet(bronze_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        refresh_batch(spark, batch, read(spark, bronze_path), root, as_of, horizon_days=horizon_days)
+        now = as_of or batch.agg(F.max("created_at")).first()[0]
+        if now is not None:
+            refresh_batch(spark, batch, read(spark, bronze_path), root, now)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/incremental")
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)

@@ -1,45 +1,54 @@
-"""Continuous ingest (ST-1..3): raw envelopes stream -> bronze (+ rejects).
-
-* bronze rows go to a Parquet **file sink** partitioned by ``event_month``; the sink's
-  commit log makes the append exactly-once across restarts (the original acked
-  messages before the database flush and could lose a buffer on a crash);
-* rejected batches (dead letters) and out-of-range rows go through ``foreachBatch`` into
-  ``batch_id=<n>`` directories written with overwrite, so a replayed micro-batch
-  replaces its own output instead of duplicating it;
-* micro-batches are bounded at the source (``maxFilesPerTrigger`` / for Kafka
-  ``maxOffsetsPerTrigger``) and triggered every few seconds, like the service's
-  1000-rows-or-5-seconds flush.
+"""Continuous ingest (ST-1..3): raw envelopes stream -> bronze, rejects and quarantine.
+
+One query parses each envelope once. A micro-batch is first written to a staging folder below
+the checkpoint, then its three outcomes are copied from there:
+
+* events to bronze, partitioned by ``event_month`` and ``ingest_batch``;
+* rejected batches (dead letters) to ``rejects/batches``, with reason and body;
+* events of accepted batches with an amount beyond 32 bits to ``rejects/quarantine``.
+
+Each copy overwrites the partitions of its own micro-batch only (named by the query's id and the
+batch's number), so a micro-batch that is run again replaces its output: nothing is lost and
+nothing is doubled. Micro-batches are bounded at the source (``maxFilesPerTrigger`` / for
+Kafka ``maxOffsetsPerTrigger``) and triggered every few seconds, like the service's
+1000-rows-or-5-seconds flush.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import ingest
+from ..plans.ingest import bronze_rows, outcomes, quarantined_rows, rejected_batches
 from ..sources import envelopes as ENV
 
 
-def _trigger(w, trigger: str | None):
-    return w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
+def _replace(df: DataFrame, path: str, batch: str, *by: str) -> None:
+    """Write ``df`` as the partitions of one micro-batch."""
+    (df.withColumn("ingest_batch", F.lit(batch)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "ingest_batch").parquet(path))
 
 
 def start_bronze_ingest(spark: SparkSession, raw_path: str, networks: DataFrame, bronze_path: str,
                         rejects_path: str, checkpoint: str, trigger: str | None = "5 seconds",
-                        max_files_per_trigger: int = 100) -> tuple[StreamingQuery, StreamingQuery]:
-    """Start the two ingest queries; ``trigger=None`` processes what is there and stops."""
+                        max_files_per_trigger: int = 100) -> StreamingQuery:
+    """Start the ingest query; ``trigger=None`` processes what is there and stops."""
     raw = ENV.read(spark, raw_path, streaming=True, max_files_per_trigger=max_files_per_trigger)
-    good, rejected, bad = ingest(raw, networks, broadcast_rows=None)
-    q1 = _trigger(good.writeStream.format("parquet").partitionBy("event_month")
-                  .option("checkpointLocation", f"{checkpoint}/bronze")
-                  .option("path", bronze_path).queryName("shoplens_bronze"), trigger).start()
-
-    def dead_letters(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{rejects_path}/batches/batch_id={batch_id}")
-
-    raw2 = ENV.read(spark, raw_path, streaming=True, max_files_per_trigger=max_files_per_trigger)
-    _, rejected2, _ = ingest(raw2, networks, broadcast_rows=None)
-    q2 = _trigger(rejected2.writeStream.foreachBatch(dead_letters)
-                  .option("checkpointLocation", f"{checkpoint}/rejects").queryName("shoplens_rejects"),
-                  trigger).start()
-    return q1, q2
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        name = f"{own.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        staged = f"{checkpoint}/staged"
+        made = outcomes(batch, networks)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
+        made = own.read.schema(made.schema).parquet(staged)
+        _replace(bronze_rows(made).sortWithinPartitions("event_month", "shop_id", "created_at"),
+                 bronze_path, name, "event_month")
+        _replace(rejected_batches(made), f"{rejects_path}/batches", name)
+        _replace(quarantined_rows(made), f"{rejects_path}/quarantine", name)
+
+    w = raw.writeStream.foreachBatch(land).option("checkpointLocation", f"{checkpoint}/ingest") \
+        .queryName("shoplens_bronze")
+    w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
+    return w.start()

@@ -59,11 +59,42 @@ def test_approx_forms_close_to_exact(spark):
             assert abs(approx[(r["shop_id"], r["day"])] - r["u"]) <= max(1, 0.05 * r["u"])
 
 
-def test_affected_days_with_horizon(spark):
+def test_late_purchase_reaches_back_to_an_old_cancel(spark):
+    from conftest import events_df
     from shoplens.streaming.incremental import affected_days
-    b = events_bronze(spark, SF)
-    last_day = b.agg(F.max(F.to_date("created_at"))).first()[0]
-    batch = b.filter(F.to_date("created_at") == last_day)
-    exact = {r["day"] for r in affected_days(batch, b).collect()}
-    bounded = {r["day"] for r in affected_days(batch, b, horizon_days=2).collect()}
-    assert last_day in exact and bounded <= exact and last_day in bounded
+    old = events_df(spark, [dict(shop_id="a", session_id="s1", event_type="order_cancel", order_id="o1",
+                                 created_at="2026-01-02 10:00:00")])
+    new = events_df(spark, [dict(id="n", shop_id="a", session_id="s2", event_type="purchase", order_id="o1",
+                                 created_at="2026-03-12 10:00:00")])
+    days = {str(r["day"]) for r in affected_days(new, old.unionByName(new)).collect()}
+    assert days == {"2026-01-02", "2026-03-12"}
+
+
+def test_ingest_restarts_without_loss(spark, tmp_path):
+    from test_ingest import _networks
+
+    from shoplens.sources import bronze as BR
+    from shoplens.streaming.ingest import start_bronze_ingest
+
+    def send(k):
+        bodies = [f'{{"shop_id":"s","events":[{{"type":"purchase","session_id":"s{k}","order_total":{a}}}]}}'
+                  for a in ("10", "1e30", '"x"')] + ["{"]
+        spark.createDataFrame([("2026-06-22T12:00:00.000Z", "198.51.100.7", b) for b in bodies],
+                              "ingest_ts string, remote_addr string, body string").coalesce(1).write.mode("append").json(
+            str(tmp_path / "raw"))
+
+    def run():
+        start_bronze_ingest(spark, str(tmp_path / "raw"), _networks(spark), str(tmp_path / "bronze"),
+                            str(tmp_path / "rejects"), str(tmp_path / "ckpt"), trigger=None,
+                            max_files_per_trigger=1).awaitTermination()
+
+    for k in range(3):
+        send(k)
+        run()
+    run()
+    kept = BR.read(spark, str(tmp_path / "bronze")).collect()
+    assert sorted(((r.session_id, r.order_total_cents) for r in kept), key=str) == sorted(
+        ((f"s{k}", c) for k in range(3) for c in (10, None)), key=str)
+    assert spark.read.parquet(str(tmp_path / "rejects" / "quarantine")).count() == 3
+    dead = spark.read.parquet(str(tmp_path / "rejects" / "batches")).collect()
+    assert [(r.reason, r.body) for r in dead] == [("invalid_json", "{")] * 3
