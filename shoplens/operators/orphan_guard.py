@@ -2,10 +2,10 @@
 
 An ``order_cancel`` only counts when a ``purchase`` for the same (shop_id, order_id)
 exists. Instead of an ``OR EXISTS`` (an ExistenceJoin over every order event) the guard
-is a union of two narrow scans: all purchases, plus cancels LEFT SEMI joined to the
-distinct valid orders. The semi join never multiplies rows, ignores NULL keys like
-EXISTS does, and AQE can turn it into a broadcast when the valid set is small or split
-it when one shop is hot.
+is a union of two narrow scans: all purchases, plus the cancels whose order was bought. The
+small side goes first: the cancels' distinct orders are looked up among all purchases (a semi
+join of two columns, a broadcast while the cancels are few), and only what was found is joined
+back. Semi joins never multiply rows and ignore NULL keys like EXISTS does.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def valid_orders(bronze: DataFrame, since: Column | None = None) -> DataFrame:
-    """Distinct (shop_id, order_id) that have a purchase (optionally created since ``since``).
-
-    The distinct is a partial aggregate before the shuffle, so the semi join later
-    moves one row per order and map task, not one per purchase line."""
+def _purchases(bronze: DataFrame, since: Column | None = None) -> DataFrame:
     p = bronze.filter((F.col("event_type") == "purchase") & F.col("order_id").isNotNull())
     if since is not None:
         p = p.filter(F.col("created_at") >= since)
         if "event_month" in p.columns:
             p = p.filter(F.col("event_month") >= F.trunc(F.to_date(since), "MM"))
-    return p.select("shop_id", "order_id").distinct()
+    return p.select("shop_id", "order_id")
+
+
+def valid_orders(bronze: DataFrame, since: Column | None = None) -> DataFrame:
+    """Distinct (shop_id, order_id) that have a purchase (optionally created since ``since``)."""
+    return _purchases(bronze, since).distinct()
 
 
 def guarded_order_events(bronze: DataFrame, since: Column | None = None,
@@ -44,9 +45,10 @@ def guarded_order_events(bronze: DataFrame, since: Column | None = None,
     if extra_filter is not None:
         ev = ev.filter(extra_filter)
     purchases = ev.filter(F.col("event_type") == "purchase")
-    cancels = (ev.filter(F.col("event_type") == "order_cancel")
-                 .join(valid_orders(bronze, valid_since), ["shop_id", "order_id"], "left_semi"))
-    return purchases.unionByName(cancels)
+    cancels = ev.filter(F.col("event_type") == "order_cancel")
+    asked = cancels.filter(F.col("order_id").isNotNull()).select("shop_id", "order_id").distinct()
+    bought = _purchases(bronze, valid_since).join(asked, ["shop_id", "order_id"], "left_semi").distinct()
+    return purchases.unionByName(cancels.join(bought, ["shop_id", "order_id"], "left_semi"))
 
 
 def net_order_aggs(prefix: str = "") -> list[Column]:

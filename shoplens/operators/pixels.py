@@ -1,21 +1,25 @@
-"""Fold a pixel change feed into the current registry (aggregations, no per-id loop).
+"""Fold a pixel change feed into the current registry.
 
 Rules (after the service's handlers and table constraints):
 
-* create: shop_id, tenant_id, pixel_type, pixel_id required, pixel_type in the allow-list;
-  the first valid create of an id defines the pixel (is_active true, created_at = ts);
-  later creates of the same id are duplicates and ignored;
-* update / delete: apply only after the create and only with the pixel's own tenant
-  (a foreign tenant matches no row); a delete is final;
-* update is partial: per column the last non-null value of the updates before the delete;
-* (shop_id, pixel_type, pixel_id) is unique: when several live pixels share it, the one
-  created first is kept (the database would have refused the later write).
+* create: shop_id, tenant_id, pixel_type, pixel_id required, pixel_type in the allow-list; an id
+  stands for one request, its first valid create;
+* (shop_id, pixel_type, pixel_id) is unique among live pixels **at every moment**: a create that
+  would break this is refused (the id never comes to exist), and so is an update that
+  would, with all its columns. What a refused operation wanted is not made up for later;
+* update / delete match on the id and the pixel's own tenant, else they change nothing; a delete
+  frees the pixel_id for others;
+* update is partial: columns that are null keep their values.
 
-The per-id work is two hash aggregations and equi-joins on ``id``.
+Conflicts lie within one (shop_id, pixel_type), so the feed is dealt out by these, sorted by
+``seq``, and replayed batch by batch; a task holds the live pixels of one scope, not its feed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,42 +27,57 @@ from ..constants import PIXEL_TYPES
 
 REGISTRY_COLS = ["id", "shop_id", "tenant_id", "pixel_type", "pixel_id", "name", "is_active",
                  "created_at", "updated_at"]
+REGISTRY_SCHEMA = ("id string, shop_id string, tenant_id string, pixel_type string, pixel_id string, name string, "
+                   "is_active boolean, created_at timestamp, updated_at timestamp")
 
 
 def _nonempty(c: str):
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
+def _apply(live: dict[str, dict], op: dict) -> None:
+    """One operation on the live pixels (by id) of its scope."""
+    own = live.get(op["id"])
+    if op["op"] == "delete":
+        if own and own["tenant_id"] == op["tenant_id"]:
+            del live[op["id"]]
+        return
+    if any(p["pixel_id"] == op["pixel_id"] for i, p in live.items() if i != op["id"]):
+        return
+    if op["op"] == "create":
+        live[op["id"]] = {c: op[c] for c in REGISTRY_COLS[:6]} | {
+            "is_active": True, "created_at": op["ts"], "updated_at": op["ts"]}
+    elif own and own["tenant_id"] == op["tenant_id"]:
+        own.update({c: op[c] for c in ("pixel_id", "name", "is_active") if op[c] is not None})
+        own["updated_at"] = max(own["updated_at"], op["ts"])
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    scope, live = None, {}
+    for batch in batches:
+        done: list[dict] = []
+        for op in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            if (op["shop_id"], op["pixel_type"]) != scope:
+                done += live.values()
+                scope, live = (op["shop_id"], op["pixel_type"]), {}
+            _apply(live, op)
+        yield pd.DataFrame(done, columns=REGISTRY_COLS)
+    yield pd.DataFrame(list(live.values()), columns=REGISTRY_COLS)
+
+
 def fold(feed: DataFrame) -> DataFrame:
     valid_create = ((F.col("op") == "create") & _nonempty("shop_id") & _nonempty("tenant_id")
                     & _nonempty("pixel_type") & _nonempty("pixel_id") & F.col("pixel_type").isin(*PIXEL_TYPES))
-    creates = (feed.filter(valid_create).groupBy("id")
-               .agg(F.min_by(F.struct("seq", "shop_id", "tenant_id", "pixel_type", "pixel_id", "name", "ts"),
-                             F.col("seq")).alias("c"))
-               .select("id", *[F.col("c")[f].alias(f"c_{f}") for f in
-                               ("seq", "shop_id", "tenant_id", "pixel_type", "pixel_id", "name", "ts")]))
-    ops = (feed.filter(F.col("op").isin("update", "delete"))
-               .join(creates.select("id", "c_seq", "c_tenant_id"), "id", "inner")
-               .filter((F.col("seq") > F.col("c_seq")) & (F.col("tenant_id") == F.col("c_tenant_id"))))
-    deleted = ops.filter(F.col("op") == "delete").groupBy("id").agg(F.min("seq").alias("del_seq"))
-    upd = (ops.filter(F.col("op") == "update").join(deleted, "id", "left")
-              .filter(F.col("del_seq").isNull() | (F.col("seq") < F.col("del_seq")))
-              .groupBy("id").agg(
-                  *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"u_{c}")
-                    for c in ("name", "is_active", "pixel_id")],
-                  F.max("ts").alias("u_ts")))
-    live = creates.join(deleted, "id", "left_anti").join(upd, "id", "left")
-    reg = live.select(
-        "id", F.col("c_shop_id").alias("shop_id"), F.col("c_tenant_id").alias("tenant_id"),
-        F.col("c_pixel_type").alias("pixel_type"),
-        F.coalesce("u_pixel_id", "c_pixel_id").alias("pixel_id"),
-        F.coalesce("u_name", "c_name").alias("name"),
-        F.coalesce("u_is_active", F.lit(True)).alias("is_active"),
-        F.col("c_ts").alias("created_at"),
-        F.greatest("c_ts", F.coalesce("u_ts", "c_ts")).alias("updated_at"),
-        F.col("c_seq").alias("_cseq"))
-    first = (reg.groupBy("shop_id", "pixel_type", "pixel_id").agg(F.min("_cseq").alias("_cseq")))
-    return reg.join(first, ["shop_id", "pixel_type", "pixel_id", "_cseq"], "left_semi").select(*REGISTRY_COLS)
+    born = (feed.filter(valid_create).groupBy("id")
+            .agg(F.min_by(F.struct("seq", "shop_id", "pixel_type"), "seq").alias("b"))
+            .select("id", F.col("b.seq").alias("_born"), F.col("b.shop_id").alias("_shop"),
+                    F.col("b.pixel_type").alias("_type")))
+    later = F.col("op").isin("update", "delete") & (F.col("seq") > F.col("_born"))
+    ops = feed.join(born, "id").filter(later | (F.col("seq") == F.col("_born"))).select(
+        "seq", "op", "id", F.col("_shop").alias("shop_id"), "tenant_id", F.col("_type").alias("pixel_type"),
+        "pixel_id", "name", "is_active", "ts")
+    return (ops.repartition("shop_id", "pixel_type").sortWithinPartitions("shop_id", "pixel_type", "seq")
+            .mapInPandas(_replay, REGISTRY_SCHEMA))
 
 
 def list_pixels(registry: DataFrame, shop_id: str | None = None, tenant_id: str | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ pushes below the aggregations). Windows are resolved on the driver
 (:mod:`shoplens.functions.periods`) and enter the plan as literals.
 
 Reports that the service returns for every shop even without data (KPIs, summaries,
-dense series) are left-joined to the shop list, so a shop without activity in the
-window gets zeros instead of disappearing.
+dense series) are left-joined to a shop list: the ``shops`` dimension where one is given, so a
+shop without any event gets zeros too; else the one shop asked for, or the shops of the data.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from ..functions.rates import (conversion_pct, div_round_half_away, pct_2dp, rou
 from ..operators.densify import densify_buckets, densify_days
 from ..operators.orphan_guard import guarded_order_events, net_order_aggs
 from ..operators.topk import clamp_limit, top_k, top_k_per_group
+from ..sources.bronze import scan_filter
 
 Win = tuple[dt.datetime, dt.datetime]
 
@@ -36,15 +37,18 @@ def _days(df: DataFrame, w: Win) -> DataFrame:
     return df.filter((F.col("day") >= F.lit(w[0].date())) & (F.col("day") < F.lit(w[1].date())))
 
 
-def _created(df: DataFrame, w: Win) -> DataFrame:
+def _in_window(df: DataFrame, w: Win) -> Column:
     """Half-open window on created_at; on a partitioned bronze table the month predicate is
     added too, so only the window's month directories are listed and read."""
     if "event_month" in df.columns:
-        from ..sources.bronze import scan_filter
-        return df.filter(scan_filter(w[0], w[1]))
+        return scan_filter(w[0], w[1])
     lo = F.to_timestamp(F.lit(sql_ts(w[0])))
     hi = F.to_timestamp(F.lit(sql_ts(w[1])))
-    return df.filter((F.col("created_at") >= lo) & (F.col("created_at") < hi))
+    return (F.col("created_at") >= lo) & (F.col("created_at") < hi)
+
+
+def _created(df: DataFrame, w: Win) -> DataFrame:
+    return df.filter(_in_window(df, w))
 
 
 def _shop(df: DataFrame, shop_id: str | None) -> DataFrame:
@@ -56,6 +60,16 @@ def shops_of(df: DataFrame, shop_id: str | None = None) -> DataFrame:
     return _shop(df, shop_id).select("shop_id").distinct()
 
 
+def _shop_list(df: DataFrame, shop_id: str | None, shops: DataFrame | None) -> DataFrame:
+    """Who a report answers for: the given shop dimension, else the one shop asked for, else the
+    shops of ``df``. A shop without events gets its zeros in the first two cases."""
+    if shops is not None:
+        return shops_of(shops, shop_id)
+    if shop_id is not None:
+        return df.sparkSession.range(1).select(F.lit(shop_id).alias("shop_id"))
+    return shops_of(df)
+
+
 def _zero_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.fillna(0, subset=cols)
 
@@ -127,7 +141,8 @@ def kpi_series(kpi: DataFrame, period: str, as_of, from_=None, to=None, shop_id=
 
 
 def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
-                     shop_id: str | None = None, per_shop: bool = True) -> DataFrame:
+                     shop_id: str | None = None, per_shop: bool = True,
+                     shops: DataFrame | None = None) -> DataFrame:
     """Two-hour UTC buckets of [start, end), live from bronze, zero-filled.
 
     Orders are deduplicated per (bucket, shop, order, type); a cancel counts only when a
@@ -145,10 +160,8 @@ def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
         F.count_distinct(F.when(F.col("br"), F.col("session_id"))).alias("unique_sessions"),
         F.count_distinct("visitor_id").alias("unique_visitors"),
         F.lit(0).cast("long").alias("total_orders"), F.lit(0).cast("long").alias("total_revenue_cents"))
-    lo = F.to_timestamp(F.lit(sql_ts(start)))
-    hi = F.to_timestamp(F.lit(sql_ts(end)))
     ev = guarded_order_events(_shop(bronze, shop_id), valid_since=None,
-                              extra_filter=(F.col("created_at") >= lo) & (F.col("created_at") < hi))
+                              extra_filter=_in_window(bronze, (start, end)))
     dedup = (ev.select("shop_id", bucket, "order_id", "event_type", "order_total_cents")
                .groupBy("shop_id", "bucket_idx", "order_id", "event_type")
                .agg(F.max("order_total_cents").alias("order_total_cents")))
@@ -157,9 +170,7 @@ def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
         F.col("order_count").alias("total_orders"), "total_revenue_cents")
     vals = ["total_revenue_cents", "total_orders", "unique_visitors", "unique_sessions", "page_views"]
     facts = traffic.unionByName(orders).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in vals])
-    # shops with activity in the window (the part of bronze this report reads anyway), not
-    # a distinct over the whole history
-    base = shops_of(b) if per_shop else bronze.sparkSession.range(1).select()
+    base = _shop_list(b, shop_id, shops) if per_shop else bronze.sparkSession.range(1).select()
     kcols = ["shop_id"] if per_shop else []
     return densify_buckets(base, facts, kcols, start, end, wd, vals).select(
         *kcols, "bucket_idx", "slot", *vals)
@@ -218,10 +229,10 @@ def top_referrers(bronze: DataFrame, w: Win, shop_id=None, limit: int = 10) -> D
 # ---------------------------------------------------------------------------------------
 # revenue (RPT-3)
 # ---------------------------------------------------------------------------------------
-def revenue_summary(orders: DataFrame, w: Win, shop_id=None) -> DataFrame:
+def revenue_summary(orders: DataFrame, w: Win, shop_id=None, shops: DataFrame | None = None) -> DataFrame:
     agg = _days(_shop(orders, shop_id), w).groupBy("shop_id").agg(
         F.sum("total_revenue_cents").alias("rev"), F.sum("order_count").alias("oc"))
-    j = shops_of(orders, shop_id).join(agg, "shop_id", "left")
+    j = _shop_list(orders, shop_id, shops).join(agg, "shop_id", "left")
     return j.select(
         "shop_id",
         F.coalesce("rev", F.lit(0)).cast("long").alias("total_revenue_cents"),
@@ -231,13 +242,13 @@ def revenue_summary(orders: DataFrame, w: Win, shop_id=None) -> DataFrame:
         F.coalesce("rev", F.lit(0)).cast("long").alias("net_revenue_cents"))
 
 
-def revenue_series(orders: DataFrame, w: Win, shop_id=None) -> DataFrame:
+def revenue_series(orders: DataFrame, w: Win, shop_id=None, shops: DataFrame | None = None) -> DataFrame:
     vals = ["revenue_cents", "orders", "avg_cents"]
     facts = _days(_shop(orders, shop_id), w).groupBy("shop_id", "day").agg(
         F.sum("total_revenue_cents").cast("long").alias("revenue_cents"),
         F.sum("order_count").cast("long").alias("orders"),
         F.max("avg_order_cents").cast("long").alias("avg_cents"))
-    return densify_days(shops_of(orders, shop_id), facts, ["shop_id"], w[0], w[1], vals)
+    return densify_days(_shop_list(orders, shop_id, shops), facts, ["shop_id"], w[0], w[1], vals)
 
 
 # ---------------------------------------------------------------------------------------
@@ -349,7 +360,7 @@ def active_shops(kpi: DataFrame, w: Win, approx: bool = False, rsd: float = 0.01
 # ---------------------------------------------------------------------------------------
 # returning customers (RPT-7)
 # ---------------------------------------------------------------------------------------
-def returning_customers(bronze: DataFrame, w: Win, shop_id=None) -> DataFrame:
+def returning_customers(bronze: DataFrame, w: Win, shop_id=None, shops: DataFrame | None = None) -> DataFrame:
     in_window = _created(_shop(bronze, shop_id), w)
     p = in_window.filter((F.col("event_type") == "purchase") & F.col("visitor_id").isNotNull()
                          & F.col("order_id").isNotNull())
@@ -359,8 +370,7 @@ def returning_customers(bronze: DataFrame, w: Win, shop_id=None) -> DataFrame:
                     .groupBy("shop_id", "visitor_id").agg(F.count(F.lit(1)).alias("n")))
     agg = per_visitor.groupBy("shop_id").agg(
         F.count(F.lit(1)).alias("total_buyers"), F.count_if(F.col("n") > 1).alias("repeat_buyers"))
-    # shops with any activity in the window get a row (zeros when nobody bought)
-    j = _zero_fill(shops_of(in_window).join(agg, "shop_id", "left"),
+    j = _zero_fill(_shop_list(in_window, shop_id, shops).join(agg, "shop_id", "left"),
                    ["total_buyers", "repeat_buyers"])
     return j.withColumn("repeat_rate", round_ratio_pct("repeat_buyers", "total_buyers"))
 

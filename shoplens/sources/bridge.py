@@ -27,6 +27,12 @@ BRONZE_COLUMNS = (
     "geo_country", "geo_subject", "geo_city", "event_month",
 )
 
+def shop_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shop dimension, from ``nation``: the bridges' shops and others that never had an event."""
+    n = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet")
+    return n.select(F.concat(F.lit("shop_"), F.col("n_nationkey").cast("string")).alias("shop_id"))
+
+
 # six-hour session slots, shifted by three hours so that some sessions cross midnight
 _SLOT_US = 21600 * 1_000_000
 _SHIFT_US = 10800 * 1_000_000

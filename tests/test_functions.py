@@ -8,10 +8,10 @@ from shoplens.functions.urls import query_param
 
 
 def test_round_share(spark):
-    rows = [(0, 0), (5, 0), (50, 200), (1, 3), (2, 3), (200, 200), (120, 200), (10, 200)]
+    rows = [(7, 0), (0, 9), (1, 7), (5, 6), (1, 16), (6, 7), (9, 9), (12345, 99999), (1, 20001), (3, -4)]
     df = spark.createDataFrame(rows, "s long, t long")
     got = [r[0] for r in df.select(round_share("s", "t")).collect()]
-    assert got == [0, 0, 25, 33.33, 66.67, 100, 60, 5]
+    assert got == [0, 0, 14.29, 83.33, 6.25, 85.71, 100, 12.35, 0, 0]
 
 
 def test_pct_2dp_half_away_from_zero(spark):
@@ -44,24 +44,27 @@ def test_price_json_values(spark):
 
 
 def test_region_relabel(spark):
-    cases = [
-        ("UA", "Crimea", "", "RU", G.SUBJ_CRIMEA), ("UA", "Sevastopol", "", "RU", G.SUBJ_SEVASTOPOL),
-        ("UA", "Sebastopol City", "", "RU", G.SUBJ_SEVASTOPOL), ("UA", "Kherson Oblast", "", "RU", G.SUBJ_KHERSON),
-        ("UA", "Zaporizhzhya Oblast", "", "RU", G.SUBJ_ZAPORIZHZHIA), ("UA", "Lugansk", "", "RU", G.SUBJ_LUHANSK),
-        ("UA", "Donetsk People's Republic", "", "RU", G.SUBJ_DONETSK),
-        ("ua", "crimea", "", "RU", G.SUBJ_CRIMEA), ("UA", "CRIMEA", "", "RU", G.SUBJ_CRIMEA),
-        ("UA", "Крым", "", "RU", G.SUBJ_CRIMEA), ("UA", "Донецкая область", "", "RU", G.SUBJ_DONETSK),
-        ("RU", "Crimea", "", "RU", G.SUBJ_CRIMEA),
-        ("UA", "", "43", "RU", G.SUBJ_CRIMEA), ("UA", None, "65", "RU", G.SUBJ_KHERSON),
-        ("UA", "Kyiv", "", "UA", "Kyiv"), ("UA", "Lviv", "", "UA", "Lviv"),
-        ("RU", "Rostov Oblast", "", "RU", "Rostov Oblast"), ("US", "California", "", "US", "California"),
-        ("", "", "", "", ""),
-        ("RU", "Moscow", "43", "RU", "Moscow"),  # the code table applies under UA only
-    ]
-    df = spark.createDataFrame([c[:3] for c in cases], "c string, s string, iso string")
-    c, s = G.region_relabel("c", "s", "iso")
-    got = [tuple(r) for r in df.select(c, s).collect()]
-    assert got == [c[3:] for c in cases]
+    stems = {"krym": None, "Autonomous Republic of Crimea": G.SUBJ_CRIMEA, "sevastopol city": G.SUBJ_SEVASTOPOL,
+             "KHERSONSKA": G.SUBJ_KHERSON, "Zaporizhia": None, "Luhansk region": G.SUBJ_LUHANSK,
+             "donetsk": G.SUBJ_DONETSK, "Херсонская область": G.SUBJ_KHERSON, "Odesa": None}
+    rows = [("UA", name, None) for name in stems] + [
+        ("UA", "Odesa", "14"), ("UA", "no such place", "09"), ("FR", "Odesa", "14"), ("FR", "Luhansk Bistro Quarter", None),
+        ("UA", None, None), (None, "Paris", "40")]
+    df = spark.createDataFrame(rows, "c string, s string, iso string")
+    got = [tuple(r) for r in df.select(*G.region_relabel("c", "s", "iso")).collect()]
+    for (name, subject), row in zip(stems.items(), got):
+        if subject:
+            assert row == ("RU", subject)
+    assert got[stems_at(stems, "Odesa")] == ("UA", "Odesa")
+    by_code, other_code, abroad, stem_abroad, unknown, nowhere = got[len(stems):]
+    assert by_code == ("RU", G.SUBJ_DONETSK) and other_code == ("RU", G.SUBJ_LUHANSK)
+    assert abroad == ("FR", "Odesa")  # codes count under UA only, stems under any country
+    assert stem_abroad == ("RU", G.SUBJ_LUHANSK)
+    assert unknown[0] == "UA" and nowhere[1] == "Paris"
+
+
+def stems_at(stems, name):
+    return list(stems).index(name)
 
 
 def test_pick_name(spark):

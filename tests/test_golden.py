@@ -1,4 +1,4 @@
-"""Golden cases after the reference's handler tests."""
+"""Hand-computed cases of the reports."""
 
 import datetime as dt
 
@@ -8,26 +8,45 @@ from shoplens.plans import reports as R
 from shoplens.sources.bronze import apply_retention, retention_cutoff
 
 
-def test_by_location_golden_sample(spark):
-    rows = [("s1", dt.date(2026, 6, 1), "RU", "Москва", None, 120, 8, 0),
-            ("s1", dt.date(2026, 6, 1), "RU", "Санкт-Петербург", None, 50, 3, 0),
-            ("s2", dt.date(2026, 6, 2), "RU", "Республика Крым", None, 20, 1, 0),
-            ("s2", dt.date(2026, 6, 2), None, None, None, 10, 0, 0)]
-    geo = spark.createDataFrame(rows, "shop_id string, day date, geo_country string, geo_subject string, "
-                                      "geo_city string, sessions long, orders long, revenue_cents long")
-    w = R.window("custom", "2026-06-30 00:00:00", "2026-06-01", "2026-06-30")
+def test_by_location(spark):
+    place = "shop_id string, day date, geo_country string, geo_subject string, geo_city string, " \
+            "sessions long, orders long, revenue_cents long"
+    rows = [("north", dt.date(2025, 3, 4), "DE", "Hessen", "Kassel", 31, 2, 900),
+            ("north", dt.date(2025, 3, 5), "DE", "Hessen", None, 9, 1, 100),
+            ("south", dt.date(2025, 3, 4), "DE", None, None, 24, 0, 0),
+            ("south", dt.date(2025, 3, 9), "FR", "Bretagne", "Brest", 13, 5, 70),
+            ("south", dt.date(2025, 3, 9), None, None, None, 3, -1, -40),
+            ("south", dt.date(2025, 4, 1), "FR", "Bretagne", "Brest", 1000, 0, 0)]  # after the window
+    geo = spark.createDataFrame(rows, place)
+    w = R.window("custom", "2025-05-01 00:00:00", "2025-03-01", "2025-03-31")
     out = R.by_location(geo, w, "subject").orderBy(F.col("sessions").desc()).collect()
     assert [(r["country"], r["subject"], r["city"], r["sessions"], r["orders"], r["share"]) for r in out] == [
-        ("RU", "Москва", "", 120, 8, 60.0), ("RU", "Санкт-Петербург", "", 50, 3, 25.0),
-        ("RU", "Республика Крым", "", 20, 1, 10.0), ("", "", "", 10, 0, 5.0)]
-    assert {r["total_sessions"] for r in out} == {200}
-    assert sum(r["share"] for r in out) == 100.0
+        ("DE", "Hessen", "", 40, 3, 50.0), ("DE", "", "", 24, 0, 30.0), ("FR", "Bretagne", "", 13, 5, 16.25),
+        ("", "", "", 3, -1, 3.75)]
+    assert {r["total_sessions"] for r in out} == {80}
     # a limit below the row count keeps the share of ALL sessions
-    top1 = R.by_location(geo, w, "subject", limit=1).collect()
-    assert len(top1) == 1 and top1[0]["share"] == 60.0 and top1[0]["total_sessions"] == 200
-    levels = {(r["level"], r["country"]): r["sessions"] for r in R.by_location_levels(geo, w).collect()
-              if r["level"] == "country"}
-    assert levels == {("country", "RU"): 190, ("country", ""): 10}
+    (first,) = R.by_location(geo, w, "city", limit=1).collect()
+    assert (first["city"], first["share"], first["total_sessions"]) == ("Kassel", 38.75, 80)
+    levels = {r["country"]: r["sessions"] for r in R.by_location_levels(geo, w).collect() if r["level"] == "country"}
+    assert levels == {"DE": 64, "FR": 13, "": 3}
+
+
+def test_idle_shops_get_zeros(spark):
+    from conftest import events_df
+    b = events_df(spark, [dict(shop_id="busy", session_id="s", visitor_id="v", event_type="purchase", order_id="o",
+                               order_total_cents=5, created_at="2025-03-04 05:00:00")])
+    shops = spark.createDataFrame([("busy",), ("idle",)], "shop_id string")
+    s, e = R.window("24h", "2025-03-04 13:00:00")
+    slots = R.intraday_buckets(b, s, e, shops=shops).collect()
+    assert sorted(r["shop_id"] for r in slots) == ["busy"] * 12 + ["idle"] * 12
+    assert sum(r["total_orders"] for r in slots if r["shop_id"] == "idle") == 0
+    assert sum(r["total_orders"] for r in slots if r["shop_id"] == "busy") == 1
+    assert len(R.intraday_buckets(b, s, e, shop_id="idle").collect()) == 12
+    assert [tuple(r) for r in R.returning_customers(b, (s, e), shop_id="idle").collect()] == [("idle", 0, 0, 0.0)]
+    orders = spark.createDataFrame([], "shop_id string, day date, total_revenue_cents long, order_count long, "
+                                       "avg_order_cents long")
+    assert [r["total_orders"] for r in R.revenue_summary(orders, (s, e), shops=shops).collect()] == [0, 0]
+    assert R.revenue_series(orders, (s, e), shops=shops).count() == 2
 
 
 def test_intraday_slots_zero_filled(spark):

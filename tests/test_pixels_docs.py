@@ -40,6 +40,25 @@ def test_fold_rules(spark):
     assert [(r["pixel_type"], r["pixel_id"]) for r in act] == [("google_analytics", "6")]
 
 
+def test_a_refused_update_leaves_the_pixel(spark):
+    rows = [dict(seq=1, op="create", id="A", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P1"),
+            dict(seq=2, op="create", id="B", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P2", name="b"),
+            dict(seq=3, op="update", id="B", tenant_id="t", pixel_id="P1", name="refused as a whole"),
+            dict(seq=4, op="update", id="B", tenant_id="t", is_active=False)]
+    got = {r["id"]: (r["pixel_id"], r["name"], r["is_active"]) for r in fold(_feed(spark, rows)).collect()}
+    assert got == {"A": ("P1", None, True), "B": ("P2", "b", False)}
+
+
+def test_a_refused_create_does_not_come_back(spark):
+    rows = [dict(seq=1, op="create", id="A", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P1"),
+            dict(seq=2, op="create", id="B", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P1"),
+            dict(seq=3, op="delete", id="A", tenant_id="t"),
+            dict(seq=4, op="update", id="B", tenant_id="t", name="never was"),
+            dict(seq=5, op="create", id="C", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P1"),
+            dict(seq=6, op="create", id="D", shop_id="s", tenant_id="t", pixel_type="meta", pixel_id="P1")]
+    assert {r["id"] for r in fold(_feed(spark, rows)).collect()} == {"C", "D"}
+
+
 def test_channels_document(spark):
     rows = [("s1", "t", "2026-06-01", "google", "cpc", None, 10, 2, 500),
             ("s1", "t", "2026-06-01", "direct", None, None, 20, 1, 100),
