@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm import bpe, lang_id, minhash, mixing, pii
-from shoplens.llm.common import fold, prepare, staged, table
+from shoplens.llm.common import fold, prepare, rows_of, rows_without, staged, table
 from shoplens.llm.queries import RANKS
 
 #: a document whose language is recognised with less than this is rejected
@@ -32,10 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of smallest doc_id of each group of near copies; of rows with equal doc_id
     and text one stays, rows without doc_id all stay."""
     prepare(spark)
-    gone = minhash.duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]) \
-        .unionByName(left.where("doc_id IS NULL"))
+    found = minhash.duplicates(docs.select("doc_id", "text"))
+    gone = staged(found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = rows_without(docs, "doc_id", gone)
+    again = staged(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().where("count > 1")
+                   .select("again"), "again")
+    if again.isEmpty():
+        return left
+    return rows_without(left, "doc_id", again).unionByName(
+        rows_of(left, "doc_id", again).dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,21 +68,17 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
 FILTER_BITS, BITS_PER_ID = 1 << 26, 16
 
 
-def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (long) is among ``ids`` (one column, distinct values).
-
-    A broadcast bit filter of bounded size drops most other rows before the join shuffles what is
-    left of ``df``; where there are too many ids for it, it drops fewer, and the join decides.
-    """
-    name = ids.columns[0]
-    bits = min(FILTER_BITS, max(1 << 15, 1 << (BITS_PER_ID * ids.count()).bit_length()))
+def _maybe(key: str, ids: DataFrame) -> Column:
+    """A broadcast bit filter of bounded size: false only for keys that are not among ``ids``."""
+    name, n = ids.columns[0], ids.count()
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (BITS_PER_ID * n).bit_length()))
     at = F.explode(F.array(*(1 + F.pmod(F.xxhash64(F.lit(seed), F.col(name)), F.lit(bits)) for seed in (1, 2))))
     rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     whole = np.zeros((-(-bits // (1 << 15)), 1 << 12), dtype=np.uint8)
     for r in rows:
         whole[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(whole.ravel())
+    shared = ids.sparkSession.sparkContext.broadcast(whole.ravel())
 
     @F.pandas_udf("boolean")
     def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -93,5 +89,22 @@ def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
         return pd.Series(has(a.to_numpy()) & has(b.to_numpy()))
 
-    places = [F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits)).cast("long") for seed in (1, 2)]
-    return df.where(F.col(key).isNotNull()).where(maybe(*places)).join(ids, F.col(key) == F.col(name), "left_semi")
+    return maybe(*(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits)).cast("long") for seed in (1, 2)))
+
+
+def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long) is among ``ids`` (one column, distinct values).
+
+    The bit filter drops most other rows before the join shuffles what is left of ``df``; where
+    there are too many ids for it, it drops fewer, and the join decides.
+    """
+    some = df.where(F.col(key).isNotNull()).where(_maybe(key, ids))
+    return some.join(ids, F.col(key) == F.col(ids.columns[0]), "left_semi")
+
+
+def rows_without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long) is null or not among ``ids``; what the filter clears
+    isn't shuffled."""
+    marked = df.withColumn("__maybe", F.col(key).isNotNull() & _maybe(key, ids))
+    doubtful = marked.where("__maybe").join(ids, F.col(key) == F.col(ids.columns[0]), "left_anti")
+    return marked.where("NOT __maybe").unionByName(doubtful).drop("__maybe")
