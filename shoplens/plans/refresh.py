@@ -3,18 +3,23 @@
 Silver views are computed from bronze and written first; gold views read the silver
 tables just written (as the database recomputes gold from the silver matviews). Every
 refresh writes into a new ``version=<n>`` directory, so readers of the previous version
-are never blocked or shown a half-written table; old versions can be dropped later.
-An error in one view is recorded and the others go on.
+are never blocked or shown a half-written table. Versions are never reused, and readers switch by a
+line that is appended to ``_current``, one file written whole. ``drop_versions`` removes what no
+reader needs. An error in one view, or in an intermediate, is recorded for the views that
+need it, and the others go on.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import storage
 from . import views as V
 
 SILVER = ("daily_traffic", "daily_orders", "daily_funnel", "daily_channel_attribution", "daily_geo")
@@ -23,7 +28,7 @@ GOLD = ("dashboard_kpi", "top_products")
 
 def _version(as_of) -> str:
     from ..functions.periods import parse_instant
-    return parse_instant(as_of).strftime("%Y%m%d%H%M%S")
+    return f"{parse_instant(as_of).strftime('%Y%m%d%H%M%S')}-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
 
 
 def view_path(root: str, name: str, version: str) -> str:
@@ -40,11 +45,11 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
     version = version or _version(as_of)
     report: dict[str, dict] = {}
 
-    def write(name: str, df: DataFrame) -> None:
+    def write(name: str, build) -> None:
         path = view_path(root, name, version)
         t0 = time.perf_counter()
         try:
-            df.write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").parquet(path)
             report[name] = {"path": path, "seconds": round(time.perf_counter() - t0, 3), "error": None}
         except Exception as e:  # noqa: BLE001 - one failing view must not stop the others
             report[name] = {"path": path, "seconds": round(time.perf_counter() - t0, 3),
@@ -55,10 +60,10 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
         # running them side by side fills the executors instead of idling between stages
         if parallel <= 1 or len(jobs) <= 1:
             for name, build in jobs.items():
-                write(name, build())
+                write(name, build)
             return
         with ThreadPoolExecutor(max_workers=min(parallel, len(jobs))) as pool:
-            list(pool.map(lambda kv: write(kv[0], kv[1]()), jobs.items()))
+            list(pool.map(lambda kv: write(*kv), jobs.items()))
 
     if shared:
         # one bronze pass for traffic/funnel/channels, one order dedup for orders/geo; both
@@ -66,20 +71,28 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
         work = f"{root.rstrip('/')}/_work/version={version}"
         inter = {"activity": V.activity_grain(bronze, as_of, lookback),
                  "orders": V.deduped_orders(bronze, as_of, lookback)}
-        if parallel > 1:
-            with ThreadPoolExecutor(max_workers=2) as pool:
-                list(pool.map(lambda kv: kv[1].write.mode("overwrite").parquet(f"{work}/{kv[0]}"), inter.items()))
-        else:
-            for k, df in inter.items():
-                df.write.mode("overwrite").parquet(f"{work}/{k}")
-        g = spark.read.parquet(f"{work}/activity")
-        d = spark.read.parquet(f"{work}/orders")
+
+        def keep(item: tuple[str, DataFrame]) -> tuple[str, Exception | None]:
+            try:
+                item[1].write.mode("overwrite").parquet(f"{work}/{item[0]}")
+                return item[0], None
+            except Exception as e:  # noqa: BLE001 - the views without this input go on
+                return item[0], e
+
+        with ThreadPoolExecutor(max_workers=max(1, min(2, parallel))) as pool:
+            failed = dict(pool.map(keep, inter.items()))
+
+        def stored(name: str) -> DataFrame:
+            if failed[name] is not None:
+                raise failed[name]
+            return spark.read.parquet(f"{work}/{name}")
+
         silver = {
-            "daily_traffic": lambda: V.traffic_from_grain(g),
-            "daily_orders": lambda: V.orders_from_dedup(d),
-            "daily_funnel": lambda: V.funnel_from_grain(g),
-            "daily_channel_attribution": lambda: V.channels_from_grain(g),
-            "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback, dedup_with_tenant=d),
+            "daily_traffic": lambda: V.traffic_from_grain(stored("activity")),
+            "daily_orders": lambda: V.orders_from_dedup(stored("orders")),
+            "daily_funnel": lambda: V.funnel_from_grain(stored("activity")),
+            "daily_channel_attribution": lambda: V.channels_from_grain(stored("activity")),
+            "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback, dedup_with_tenant=stored("orders")),
         }
     else:
         silver = {
@@ -91,26 +104,43 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
         }
     silver["top_products"] = lambda: V.top_products(bronze, as_of, top_lookback)
     run_all(silver)
+    if shared:
+        storage.delete(spark, work)
     if report["daily_traffic"]["error"] is None and report["daily_orders"]["error"] is None:
         t = spark.read.parquet(report["daily_traffic"]["path"])
         o = spark.read.parquet(report["daily_orders"]["path"])
-        write("dashboard_kpi", V.dashboard_kpi(t, o))
+        write("dashboard_kpi", lambda: V.dashboard_kpi(t, o))
     else:
         report["dashboard_kpi"] = {"path": None, "seconds": 0.0, "error": "silver input failed"}
     if all(v["error"] is None for v in report.values()):
         # switch readers to the new version only when every view of it was written
-        spark.createDataFrame([(version,)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{root.rstrip('/')}/_current")
+        spark.createDataFrame([(f"{time.time_ns():020d} {version}",)], "value string").coalesce(1) \
+            .write.mode("append").text(f"{root.rstrip('/')}/_current")
     return report
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The last completely written version (None before the first refresh)."""
     try:
-        row = spark.read.text(f"{root.rstrip('/')}/_current").first()
-    except Exception:  # noqa: BLE001 - no pointer yet
+        last = spark.read.text(f"{root.rstrip('/')}/_current").agg(F.max("value")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return row["value"] if row else None
+    return last.split(" ", 1)[1] if last else None
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = 3) -> list[str]:
+    """Delete all but the last ``keep`` versions of each view (never the current one); returns the
+    deleted folders. Keep as many as the longest read may be behind."""
+    current, gone = current_version(spark, root), []
+    for name in (*SILVER, *GOLD):
+        base = f"{root.rstrip('/')}/{name}"
+        old = [v for v in storage.folders(spark, base) if v.startswith("version=")][:-max(1, keep)]
+        gone += [f"{base}/{v}" for v in old if v != f"version={current}"]
+    for path in gone:
+        storage.delete(spark, path)
+    return gone
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -6,7 +6,8 @@
                     Parquet reader as pushed filters (row-group min/max skipping).
 * ``write``       - append, files sorted by (shop_id, created_at) inside each month so that
                     min/max statistics are selective for the report filters.
-* ``apply_retention`` - keep months from the month of (as_of - days): 30-61 days of history.
+* ``drop_expired``    - delete the month folders that retention drops (``apply_retention`` is the same
+                    rule as a filter): keep months from the month of (as_of - days): 30-61 days of history.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import parse_instant, sql_ts
+from . import storage
 
 BRONZE_SCHEMA = (
     "id string, shop_id string, tenant_id string, session_id string, visitor_id string, "
@@ -83,3 +85,14 @@ def apply_retention(bronze: DataFrame, as_of, days: int = 30) -> DataFrame:
     before the month of as_of - days are dropped). On a partitioned table this filter
     only lists the kept directories."""
     return bronze.filter(F.col("event_month") >= F.lit(retention_cutoff(as_of, days)))
+
+
+def drop_expired(spark: SparkSession, path: str, as_of, days: int = 30) -> list[str]:
+    """Delete the month folders that retention drops, and return their names. The streaming ingest
+    writes plain partition folders without a sink log, so readers just no longer see them."""
+    cutoff = f"event_month={retention_cutoff(as_of, days).isoformat()}"
+    gone = [f for f in storage.folders(spark, path) if f.startswith("event_month=") and f < cutoff
+            and not f.endswith("__HIVE_DEFAULT_PARTITION__")]
+    for folder in gone:
+        storage.delete(spark, f"{path.rstrip('/')}/{folder}")
+    return gone
