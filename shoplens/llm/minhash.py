@@ -303,3 +303,22 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: the same rows in DuckDB's SQL, from all pairs that share a shingle (small tables only)
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, UNNEST(CASE WHEN LEN(words) = 0 THEN [] WHEN LEN(words) < {WORDS} THEN [ARRAY_TO_STRING(words, ' ')]
+    ELSE LIST_TRANSFORM(RANGE(1, LEN(words) - {WORDS - 2}), lambda i: ARRAY_TO_STRING(words[i:i + {WORDS - 1}], ' ')) END) AS g
+  FROM w),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+m AS (SELECT doc_id, MIN(other) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, COALESCE(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

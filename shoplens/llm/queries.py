@@ -97,6 +97,7 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
+    "op4_minhash": minhash.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op9_fingerprint": fingerprint.ORACLE_SQL,
 }
