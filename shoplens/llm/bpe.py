@@ -442,10 +442,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Encoded:
         raw, at, first = split(texts, self.kinds)
+        padded = np.frombuffer(raw + bytes(KEY_BYTES + 8), dtype=np.uint8)
+        # runs of slices, cut at boundaries, so that the memo holds the slices of any text
+        runs = [self._encode_run(raw, padded, at[k:k + MEMO_SLICES + 1]) for k in range(0, len(at) - 1, MEMO_SLICES)]
+        ids, count = map(np.concatenate, zip(*runs, strict=True)) if runs else (np.zeros(0, dtype=np.int32),) * 2
+        return Encoded(ids, np.concatenate([[0], np.cumsum(count, dtype=np.int64)])[first])
+
+    def _encode_run(self, raw: bytes, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the slices between the offsets ``at`` (MEMO_SLICES at most), and how many each has."""
         start, size = at[:-1], np.diff(at)
-        if self.memo.used > MEMO_SLICES // 2 or len(start) > MEMO_SLICES:
+        if self.memo.used > MEMO_SLICES // 2:
             self.memo.clear()
-        padded = np.frombuffer(raw + bytes(KEY_BYTES + 8), dtype=np.uint8)
         entry = np.full(len(start), -1, dtype=np.int64)
         short = np.flatnonzero(size <= KEY_BYTES)
         keys = self.memo.keys_of(padded, start[short], size[short])
@@ -462,8 +469,7 @@ class Codec:
             known = self.memo.long.get(piece)
             entry[k] = self.memo.add_long(piece, self._merged([piece])[0]) if known is None else known
         count = self.memo.size[entry]
-        ids = self.memo.ids[_ragged(self.memo.start[entry], count)]
-        return Encoded(ids, np.concatenate([[0], np.cumsum(count)])[first])
+        return self.memo.ids[_ragged(self.memo.start[entry], count)], count
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset in its text where each of a text's tokens begins."""

@@ -58,6 +58,18 @@ def test_memo_starts_anew(ranks, library, monkeypatch):
             assert ids.tolist() == library.encode_ordinary(text)
 
 
+def test_text_with_more_slices_than_the_memo_holds(ranks, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_SLICES", 64)
+    codec = bpe.Codec(ranks)
+    long = " ".join(f"{k}x{'é' * (k % 30)}{k * 7919}" for k in range(1000))
+    for _ in range(2):
+        some = ["", "short 1", long, "", long[::-1], "x"]
+        for text, ids in zip(some, codec.encode(some), strict=True):
+            assert ids.tolist() == library.encode_ordinary(text)
+            assert codec.decode(ids) == text.encode()
+    assert len(codec.memo.slots) == 4 * 64
+
+
 def test_frames(spark, library):
     rows = [(1, "it's 12 o'clock é"), (2, None), (3, ""), (1, "it's 12 o'clock é"), (4, "x" * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' AS n_tokens", "0 AS ids")
