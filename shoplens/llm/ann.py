@@ -8,7 +8,8 @@ the others (pigeonhole), so probing the lists of those keys finds every code wit
 is found is checked on whole codes and ranked by the vectors themselves, in double precision.
 
 R is learned from the sample: the radius that holds COVER of the neighbours which exact search
-finds there. A query that finds fewer than k in a block goes on with larger radii.
+finds there for queries drawn from all of it, repeated vectors once. A query that finds fewer
+than k in a block goes on with larger radii.
 
 Inner products: vectors get one more component that brings all to the same length, which
 makes the largest inner product the smallest angle.
@@ -100,9 +101,15 @@ def fitted(x: np.ndarray, longest: float, rows: int, k: int) -> Coder:
     few = min(len(x) - 1, max(1, k * len(x) // max(1, rows)))
     if few < 1:
         return Coder(coder.centre, coder.turned, longest, BITS)
-    q = x[:SAMPLE_QUERIES]
+    # ids may follow clusters or copies, so the queries are drawn from the whole sample
+    x = np.unique(x, axis=0)
+    few = min(len(x) - 1, few)
+    if few < 1:
+        return Coder(coder.centre, coder.turned, longest, BITS)
+    drawn = np.random.default_rng(5).permutation(len(x))[:SAMPLE_QUERIES]
+    q = x[drawn]
     score = q @ x.T
-    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    score[np.arange(len(q)), drawn] = -np.inf
     near = np.argpartition(-score, few - 1, axis=1)[:, :few]
     apart = np.bitwise_count(coder.query_codes(q)[:, None, :] ^ coder.codes(x)[near]).sum(axis=2)
     return Coder(coder.centre, coder.turned, longest, int(np.ceil(np.quantile(apart, COVER))))

@@ -31,6 +31,22 @@ def test_recall_ranks_and_scores(spark, monkeypatch):
     assert hits >= 0.9 * 2000
 
 
+def test_recall_with_ids_by_cluster_and_copies_first():
+    rng = np.random.default_rng(4)
+    copies = np.repeat(rng.standard_normal((4, 32)), 70, axis=0) + 1e-4 * rng.standard_normal((280, 32))
+    rest = np.repeat(rng.standard_normal((20, 32)), 186, axis=0) + 0.7 * rng.standard_normal((3720, 32))
+    x = np.vstack([copies, rest])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    coder = ann.fitted(x, 1.0, len(x), 20)
+    index, hits = ann.Index(coder, np.arange(len(x)), x), []
+    for q in range(280, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        found, _ = index.nearest(q, x[q], coder.query_codes(x[q:q + 1])[0], 20)
+        hits.append(len(set(np.argsort(-score)[:20].tolist()) & set(found.tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 20))
