@@ -17,6 +17,9 @@ from shoplens.llm.queries import RANKS
 
 #: a document whose language is recognised with less than this is rejected
 MIN_LANG_SCORE = 0.4
+#: near copies have PERCENT * union <= 100 * intersection of their five-word shingles; with so many
+#: bands of 8 a pair at exactly this likeness shares none with probability 3e-5
+PERCENT, BANDS = 80, 56
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of smallest doc_id of each group of near copies; of rows with equal doc_id
     and text one stays, rows without doc_id all stay."""
     prepare(spark)
-    found = minhash.duplicates(docs.select("doc_id", "text"))
+    found = minhash.duplicates(docs.select("doc_id", "text"), PERCENT, BANDS)
     gone = staged(found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     left = rows_without(docs, "doc_id", gone)
     again = staged(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().where("count > 1")

@@ -46,7 +46,6 @@ _RNG = np.random.default_rng(20_011)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD1342543DE82EF95)
-_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,13 +90,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates, one byte each. Coordinate k is the smallest value that the second
+def signature(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """``bands`` * ROWS coordinates, one byte each. Coordinate k is the smallest value that the second
     permutation gives to the shingles' places on the circle, shifted by k."""
     place = (found >> np.uint64(32)).astype(np.uint32)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    shifts = np.arange(bands * ROWS, dtype=np.uint32)[:, None]
+    low = np.full(bands * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for k in range(0, len(place), 2048):
-        x = place[None, k:k + 2048] - _SHIFTS
+        x = place[None, k:k + 2048] - shifts
         x ^= x >> np.uint32(16)
         x *= np.uint32(0x85EBCA6B)
         x ^= x >> np.uint32(13)
@@ -118,15 +118,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def needed(percent: int = PERCENT) -> int:
+def needed(percent: int = PERCENT, bands: int = BANDS) -> int:
     """Sketch bytes that must agree for a pair to be verified."""
-    n, p = BANDS * ROWS, percent / 100
+    n, p = bands * ROWS, percent / 100
     return int(n * p - SLACK * (n * p * (1 - p)) ** 0.5)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, n_shingles, set_key, sketch): a digest of the set, and the
-    signature as BANDS longs, each a band."""
+    signature as ``bands`` longs, each a band."""
 
     @F.pandas_udf("n_shingles long, set_key string, sketch array<long>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -135,7 +135,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for text in batch:
                 found = shingles(text)
                 rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(),
-                             signature(found).view(np.int64) if len(found) else None))
+                             signature(found, bands).view(np.int64) if len(found) else None))
             yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch"])
 
     return with_struct(docs.select("doc_id", "text"), run("text"), ("n_shingles", "set_key", "sketch")).drop("text")
@@ -226,7 +226,7 @@ def _near(cell: pd.DataFrame, enough: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def cross_links(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataFrame,
-                percent: int = PERCENT) -> DataFrame:
+                percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Links (a, b) across components (``parts``: node, component) between classes that share a
     group (``shared``: see groups); enough of them to join what belongs together, each confirmed on the full sets.
 
@@ -244,7 +244,7 @@ def cross_links(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: D
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
         .select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"),
                 "band", "block", "id", "component", "sketch")
-    enough = needed(percent)
+    enough = needed(percent, bands)
 
     def to_compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in _cells(batches):
@@ -280,9 +280,9 @@ def cross_links(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: D
         .mapInPandas(compare, "a long, b long").distinct()
 
 
-def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text)."""
-    found = staged(sketches(docs), "sketches")
+    found = staged(sketches(docs, bands), "sketches")
     known = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = known.groupBy("set_key").agg(F.min("doc_id").alias("id"))
     # equal sets have equal sketches: one row of the class stands for it
@@ -292,7 +292,7 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = staged(groups(_rows(classes)), "groups")
     links = staged(verified(staged(star_pairs(shared), "pairs"), docs, percent), "links")
     parts = components(links)
-    more = staged(cross_links(classes, shared, parts, docs, percent), "links")
+    more = staged(cross_links(classes, shared, parts, docs, percent, bands), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
     of_class = first.join(parts.withColumnRenamed("node", "id"), "id", "left") \

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each against a plain version on its own input."""
 
+import random
+
 import pytest
 import tiktoken
 
@@ -66,6 +68,22 @@ def test_stages(spark, docs):
     assert all(r.n_tokens == len(library.encode_ordinary(texts[r.doc_id])) for r in out)
 
 
+def test_near_duplicates_at_080(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(104)]
+        rows.append((2 * k, " ".join(base)))
+        cut = 5 + k % 8  # 95 to 88 of 100 shingles in common: Jaccard 0.90 to 0.79
+        rows.append((2 * k + 1, " ".join(base[:104 - cut] + [f"v{rng.randrange(10 ** 6)}" for _ in range(cut)])))
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(100)} for i, t in rows}
+    near = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 120, 2)}
+    assert any(0.8 <= x < 0.85 for x in near.values()) and any(x < 0.8 for x in near.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in P.near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or near[i - 1] < 0.8}
+
+
 def test_empty_table(spark, docs):
     left = docs.limit(0)
     for _, stage in P.STAGES:
