@@ -17,6 +17,8 @@ replaced, others pass through.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ LANE_DIGITS, SHARD_DIGITS = 15, 8
 LANE_MASK, SHARD_MASK = (1 << 60) - 1, (1 << 32) - 1
 #: documents of a bucket of neighbours; buckets of a group of buckets
 BUCKET_ROWS, GROUP = 256, 4096
+#: buckets at most; rows sampled for each of their borders; code points of a sampled text
+MAX_BUCKETS, PER_BORDER, HEAD_CHARS = 4096, 8, 1000
 
 
 def vectors(paragraphs: Column) -> Column:
@@ -113,15 +117,58 @@ def _following(firsts: DataFrame, levels: int) -> DataFrame:
     return placed.join(beyond, "group").select("key", F.coalesce("next", "after").alias("after"))
 
 
+def _borders(docs: DataFrame) -> list[dict]:
+    """Ascending (known, id, head) at about equal numbers of rows of ``docs`` in between, from a sample.
+
+    ``head`` is so much of a text's beginning as tells it from the sampled row before; it counts
+    among rows without doc_id and among those that share one.
+    """
+    n = docs.count()
+    buckets = min(MAX_BUCKETS, n // BUCKET_ROWS)
+    if buckets < 2:
+        return []
+    some = docs if n <= PER_BORDER * buckets else docs.sample(False, PER_BORDER * buckets / n, seed=9)
+    rows = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["head"].encode("utf-8", "surrogatepass"), r["head"])
+                  for r in some.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS).alias("head"))
+                  .collect())
+    step, found = max(1, len(rows) // buckets), []
+    for k in range(step, len(rows), step):
+        (known, i, _, head), (known_before, i_before, _, before) = rows[k], rows[k - 1]
+        same = 0
+        if (known, i) == (known_before, i_before):
+            same = 1 + next((j for j, (x, y) in enumerate(zip(head, before, strict=False)) if x != y),
+                            min(len(head), len(before)))
+        border = {"known": known, "id": i, "head": head[:same]}
+        if not found or border != found[-1]:
+            found.append(border)
+    return found
+
+
+def _bucket(borders: list[dict]) -> Column:
+    """The number of borders at or before a row's (doc_id, text), by bisection."""
+    if not borders:
+        return F.lit(0).cast("long")
+    steps = len(borders).bit_length()
+    table = F.from_json(F.lit(json.dumps(borders)), "array<struct<known: boolean, id: bigint, head: string>>")
+    own = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"),
+                   F.coalesce("text", F.lit("")).alias("head"))
+
+    def step(low: Column, width: Column) -> Column:
+        reached = F.get(table, (low + width - 1).cast("int")) <= own
+        return F.when(reached, low + width).otherwise(low)
+
+    widths = F.array(*(F.lit(1 << k).cast("long") for k in reversed(range(steps))))
+    return F.aggregate(widths, F.lit(0).cast("long"), step)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text) by ascending doc_id; one shuffle of the texts.
 
-    Buckets of neighbouring ids make the windows: their width follows from the ids' range and
-    number. Only the first rows of buckets are looked up from outside.
+    Buckets of rows that follow each other make the windows; their borders follow from the
+    distribution of the ids, and of the texts where ids are null or repeated. Only the first
+    rows of buckets are looked up from outside.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (high - low + 1) * BUCKET_ROWS // n) if low is not None else 1
-    key = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(1 << 62)))
+    key = _bucket(_borders(docs))
     placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     order = Window.partitionBy("key").orderBy("doc_id", "text")
     rows = placed.select("*", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("number"))

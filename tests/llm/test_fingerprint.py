@@ -42,6 +42,19 @@ def test_next_documents(spark, ids, monkeypatch):
     assert {r.text: r.next_text for r in fp.with_next(docs).collect()} == after
 
 
+@pytest.mark.parametrize("ids", [[2 ** 62, *range(2000)], [*range(1400), *[None] * 700], [7] * 1500,
+                                 [-(2 ** 63), 2 ** 63 - 1, *range(50)]])
+def test_buckets_stay_small(spark, ids, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 16)
+    rows = [(i, f"one and the same beginning {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = docs.groupBy(fp._bucket(fp._borders(docs))).count().agg(F.max("count")).first()[0]
+    assert sizes <= 8 * 16
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    after = {order[k][1]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    assert {r.text: r.next_text for r in fp.with_next(docs).collect()} == after
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "aé"), (4, "a\n" * 2000)], "doc_id long, text string") \
         .selectExpr("*", "'x' AS key", "0 AS n_chars")
