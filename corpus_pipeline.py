@@ -17,17 +17,20 @@ from shoplens.llm.queries import RANKS
 
 #: a document whose language is recognised with less than this is rejected
 MIN_LANG_SCORE = 0.4
+#: and one of which less than this is known to that language, by what is known of the language's own texts
+MIN_LANG_KNOWN = 0.3
 #: near copies have PERCENT * union <= 100 * intersection of their five-word shingles; with so many
 #: bands of 8 a pair at exactly this likeness shares none with probability 3e-5
 PERCENT, BANDS = 80, 56
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of doubtful language."""
+    """Rejects documents without a letter, those of doubtful language and those of none that was learned."""
     prepare(spark)
     model = lang_id.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
-    found = lang_id.predict(docs, model)
-    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("lang_score") >= MIN_LANG_SCORE)) \
+    found = lang_id.predict(docs, model, known=True)
+    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("lang_score") >= MIN_LANG_SCORE)
+                       & (F.col("lang_known") >= MIN_LANG_KNOWN)) \
         .select(*docs.columns)
 
 

@@ -5,6 +5,11 @@ that no language has seen falls back to character n-grams of the padded word, th
 length first: the word takes the mean log frequency of its known n-grams of the first
 length that knows any. The text's scores are summed over its words.
 
+``lang_known`` tells whether a text is of a learned language at all, and doesn't grow with its
+length: the share of its letters in words that the predicted language has, by the share that
+the language's own texts have of words met elsewhere (Good and Turing: all but those met once).
+Where words seldom recur, as without spaces, n-grams stand for them.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text if there is nothing to learn from. Ties go to the smaller language code. Repeated rows
 are scored alike; other columns pass through, columns named as a result are replaced.
@@ -30,6 +35,11 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 4000
 MAX_WORDS = 50_000
 NGRAMS = (4, 3, 2, 1)
+#: a language is judged by the longest units of which its texts are covered to this share
+COVERED = 0.6
+#: letters of a text that words never seen can count by their n-grams of this length: a short
+#: text may have no other
+SHORT, CREDIT = 60, 3
 SMOOTHING = 0.5
 CACHE_WORDS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -41,7 +51,8 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    padded = f"<{word}>"
+    """n-grams of the padded word; single letters come without the padding marks, which every word has."""
+    padded = word if n == 1 else f"<{word}>"
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -55,6 +66,7 @@ class Frequencies:
         if cells:
             rows, lang, n = np.array(cells).T
             np.add.at(table, (rows, lang), n)
+        self.seen = table > 0
         total = table.sum(axis=0) + SMOOTHING * max(1, len(counts))
         self.table = (np.log(table + SMOOTHING) - np.log(total)).astype(np.float32)
 
@@ -62,7 +74,9 @@ class Frequencies:
 class BackoffModel:
     """Log frequencies per language of words, and of n-grams by length (plain tables, picklable)."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
+    def __init__(self, counts: list[tuple[str, str, int]], letters_of: dict[str, int] | None = None):
+        """counts: (language, word, occurrences); letters_of: all letters of each language's texts, if
+        ``counts`` lacks some of their words."""
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
 
@@ -74,6 +88,34 @@ class BackoffModel:
         self.grams = {size: frequencies([(g, at[lang], n) for lang, w, n in counts for g in grams_of(w, size)])
                       for size in NGRAMS}
 
+        # per language: units by which it is judged (0: words), and the share of its letters that they cover
+        self.unit, self.cover = np.zeros(len(self.langs), dtype=int), np.ones(len(self.langs))
+        for k, lang in enumerate(self.langs):
+            own = [(w, n) for x, w, n in counts if x == lang]
+            letters = sum(n * len(w) for w, n in own)
+            again = letters - sum(len(w) for w, n in own if n == 1)
+            shares = [(0, again / max(1, letters, (letters_of or {}).get(lang, 0)))]
+            for size in NGRAMS:
+                met = Counter()
+                for w, n in own:
+                    for g in grams_of(w, size):
+                        met[g] += n
+                shares.append((size, 1 - sum(n == 1 for n in met.values()) / max(1, met.total())))
+            self.unit[k], self.cover[k] = next((x for x in shares if x[1] >= COVERED), max(shares, key=lambda x: x[1]))
+
+    def known_word(self, word: str) -> np.ndarray:
+        """For each language the share of the word that it knows, by its share of known letters; below,
+        the same by n-grams for words that it hasn't seen."""
+        out = np.zeros((2, len(self.langs)))
+        for k, size in enumerate(self.unit):
+            if size == 0:
+                row = self.words.row.get(word)
+                out[0, k] = row is not None and self.words.seen[row, k]
+            if size or not out[0, k]:
+                of, grams = self.grams[size or CREDIT], grams_of(word, size or CREDIT)
+                out[0 if size else 1, k] = sum(g in of.row and of.seen[of.row[g], k] for g in grams) / max(1, len(grams))
+        return out / np.maximum(self.cover, 1e-9)
+
     def score_word(self, word: str) -> np.ndarray:
         known = self.words.row.get(word)
         if known is not None:
@@ -96,6 +138,7 @@ class Scorer:
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.table = np.empty((4096, len(self.model.langs)), dtype=np.float32)
+        self.share: dict[str, np.ndarray] = {}
 
     def _add(self, word: str) -> None:
         k = len(self.index)
@@ -123,6 +166,21 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
+    def known(self, text: str | None, lang: str) -> float:
+        """How much of a text is known to ``lang``, by what of its own texts is: about 1 for these."""
+        found = Counter(words_of(text)) if text and lang in self.model.langs else None
+        if not found:
+            return 0.0
+        if len(self.share) > CACHE_WORDS:
+            self.share = {}
+        for w in found.keys() - self.share.keys():
+            self.share[w] = self.model.known_word(w)
+        k = self.model.langs.index(lang)
+        letters = np.array([n * len(w) for w, n in found.items()])
+        seen, alike = letters @ np.array([self.share[w][:, k] for w in found])
+        return float((seen + min(alike, SHORT)) / letters.sum())
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS) -> BackoffModel:
     """Learn from rows of (doc_id, text, lang); rows with a null in any of the three teach nothing."""
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL")
@@ -137,20 +195,28 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
             yield pd.DataFrame({"lang": [k[0] for k in found], "word": [k[1] for k in found],
                                 "n": list(found.values())})
 
-    counts = (sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
-              .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-              .orderBy(F.desc("n"), "lang", "word").limit(max_words).collect())
-    return BackoffModel([(r["lang"], r["word"], r["n"]) for r in counts])
+    every = (sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
+             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counts = every.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+    letters = {}
+    if len(counts) == max_words:
+        letters = dict(map(tuple, every.groupBy("lang").agg(F.sum(F.col("n") * F.char_length("word"))).collect()))
+    return BackoffModel([(r["lang"], r["word"], r["n"]) for r in counts], letters)
 
 
-def predict(docs: DataFrame, model: BackoffModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (posterior of the predicted language)."""
+def predict(docs: DataFrame, model: BackoffModel, known: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``lang_score`` (posterior of the predicted language) and, if asked
+    for, ``lang_known``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ("lang_pred", "lang_score", "lang_known") if known else ("lang_pred", "lang_score")
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double" + ", lang_known double" * known)
     def identify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in texts:
-            yield pd.DataFrame([scorer(t) for t in batch], columns=["lang_pred", "lang_score"])
+            rows = [scorer(t) for t in batch]
+            if known:
+                rows = [(lang, score, scorer.known(t, lang)) for (lang, score), t in zip(rows, batch, strict=True)]
+            yield pd.DataFrame(rows, columns=list(names))
 
-    return with_struct(docs, identify("text"), ("lang_pred", "lang_score"))
+    return with_struct(docs, identify("text"), names)

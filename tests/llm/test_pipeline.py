@@ -68,6 +68,23 @@ def test_stages(spark, docs):
     assert all(r.n_tokens == len(library.encode_ordinary(texts[r.doc_id])) for r in out)
 
 
+def test_language_rejects_what_was_never_learned(spark, docs):
+    foreign = ["кошка и собака пошли в сад и вернулись за едой " * 40, "η γάτα και ο σκύλος πήγαν στον κήπο " * 40,
+               "猫和狗去了花园，然后回来吃东西。" * 40, f"{'кошка и собака пошли в сад ' * 40} the cat"]
+    more = [(300 + k, t, None, "s0", len(t)) for k, t in enumerate(foreign)]
+    kept = P.language(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), "")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {200, 201, 202}
+
+
+def test_language_without_spaces_stays(spark):
+    rng = random.Random(3)
+    signs = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    rows = [(k, "，".join("".join(rng.choice(signs) for _ in range(12)) for _ in range(8)), "zh") for k in range(60)]
+    rows += [(100 + k, f"{EN} {k}", "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert P.language(spark, docs, "").count() == len(rows)
+
+
 def test_near_duplicates_at_080(spark):
     rng = random.Random(8)
     rows = []
