@@ -106,16 +106,23 @@ class BackoffModel:
     def known_word(self, word: str) -> np.ndarray:
         """For each language the share of the word that it knows, by its share of known letters; below,
         the same by n-grams for words that it hasn't seen."""
+        row = self.words.row.get(word)
+        whole = self.words.seen[row] if row is not None else np.zeros(len(self.langs), dtype=bool)
         out = np.zeros((2, len(self.langs)))
-        for k, size in enumerate(self.unit):
-            if size == 0:
-                row = self.words.row.get(word)
-                out[0, k] = row is not None and self.words.seen[row, k]
-            if size or not out[0, k]:
-                of, grams = self.grams[size or CREDIT], grams_of(word, size or CREDIT)
-                out[0 if size else 1, k] = sum(g in of.row and of.seen[of.row[g], k] for g in grams) / max(1, len(grams))
+        out[0] = whole & (self.unit == 0)
+        unseen = (self.unit == 0) & ~whole
+        for size in set(self.unit[self.unit > 0]):
+            out[0] = np.where(self.unit == size, self._known_grams(word, size), out[0])
+        if unseen.any():
+            out[1] = np.where(unseen, self._known_grams(word, CREDIT), 0)
         return out / np.maximum(self.cover, 1e-9)
 
+    def _known_grams(self, word: str, size: int) -> np.ndarray:
+        """The share of the word's n-grams that each language has."""
+        of, grams = self.grams[size], grams_of(word, size)
+        rows = [of.row[g] for g in grams if g in of.row]
+        return of.seen[rows].sum(axis=0) / max(1, len(grams))
+
     def score_word(self, word: str) -> np.ndarray:
         known = self.words.row.get(word)
         if known is not None:
@@ -173,7 +180,7 @@ class Scorer:
             return 0.0
         if len(self.share) > CACHE_WORDS:
             self.share = {}
-        for w in found.keys() - self.share.keys():
+        for w in [w for w in found if w not in self.share]:  # a difference of key views would walk the whole cache
             self.share[w] = self.model.known_word(w)
         k = self.model.langs.index(lang)
         letters = np.array([n * len(w) for w, n in found.items()])
