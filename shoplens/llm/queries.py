@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import ann, bpe, fingerprint, lang_id, minhash, mixing, pii, quality, toxicity, warc
+from shoplens.llm import (ann, bpe, decontamination, fingerprint, interaction, lang_id, merkle, minhash, mixing, pii, quality,
+                          toxicity, warc)
 from shoplens.llm.common import fold, table
 
 #: a score from here on counts as label 1
@@ -84,6 +85,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_more"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 3 divides are checked as if their texts had been lower-cased."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.audited(docs, {"text": merkle.lowered(F.col("text"))}, fold(F.col("doc_id"), 3) == 0)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                         table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"),
+                             table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -95,9 +114,15 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
+    "op11_merkle": op11_merkle,
+    "op12_decontamination": op12_decontamination,
+    "op13_interaction": op13_interaction,
 }
 ORACLES: dict[str, str] = {
     "op4_minhash": minhash.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op9_fingerprint": fingerprint.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
+    "op12_decontamination": decontamination.ORACLE_SQL,
+    "op13_interaction": interaction.ORACLE_SQL,
 }
