@@ -3,22 +3,27 @@
 Silver views are computed from bronze and written first; gold views read the silver
 tables just written (as the database recomputes gold from the silver matviews). Every
 refresh writes into a new ``version=<n>`` directory, so readers of the previous version
-are never blocked or shown a half-written table. Versions are never reused, and readers switch by a
-line that is appended to ``_current``, one file written whole. ``drop_versions`` removes what no
-reader needs. An error in one view, or in an intermediate, is recorded for the views that
-need it, and the others go on.
+are never blocked or shown a half-written table. Versions are never reused. ``drop_versions``
+removes what no reader needs. An error in one view, or in an intermediate, is recorded for the views
+that need it, and the others go on.
+
+A version is audited before readers see it: each written view is read back and must have one row for
+each key of its grain (VW-8). Then the version is published: ``_current/<k>``, created only if it is
+absent, names the k-th published version, and readers take the last. Of refreshes that run at once
+each publishes whole or not at all, and none takes readers back to an earlier ``as_of``.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.periods import parse_instant
 from ..sources import storage
 from . import views as V
 
@@ -27,7 +32,6 @@ GOLD = ("dashboard_kpi", "top_products")
 
 
 def _version(as_of) -> str:
-    from ..functions.periods import parse_instant
     return f"{parse_instant(as_of).strftime('%Y%m%d%H%M%S')}-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
 
 
@@ -39,9 +43,10 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
                 lookback: str | None = V.DAILY_LOOKBACK,
                 top_lookback: str | None = V.TOP_PRODUCTS_LOOKBACK,
                 version: str | None = None, shared: bool = True, parallel: int = 4) -> dict[str, dict]:
-    """Recompute all views from ``bronze`` and write them under ``root``.
+    """Recompute all views from ``bronze``, write them under ``root`` and publish them.
 
-    Returns per view: path, seconds and error (None when it succeeded)."""
+    Returns per view: path, seconds, error (None when it succeeded) and outcome: ``published``,
+    ``superseded`` (readers have a later ``as_of`` already) or ``refused`` (an error, or a grain that is broken)."""
     version = version or _version(as_of)
     report: dict[str, dict] = {}
 
@@ -112,22 +117,46 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
         write("dashboard_kpi", lambda: V.dashboard_kpi(t, o))
     else:
         report["dashboard_kpi"] = {"path": None, "seconds": 0.0, "error": "silver input failed"}
+    outcome = "refused"
     if all(v["error"] is None for v in report.values()):
-        # switch readers to the new version only when every view of it was written
-        spark.createDataFrame([(f"{time.time_ns():020d} {version}",)], "value string").coalesce(1) \
-            .write.mode("append").text(f"{root.rstrip('/')}/_current")
+        for name, keys in broken_grains(spark, report).items():
+            report[name]["error"] = f"{keys} keys of its grain have several rows"
+    if all(v["error"] is None for v in report.values()):
+        outcome = "published" if publish(spark, root, version, as_of) else "superseded"
+    for v in report.values():
+        v["outcome"] = outcome
     return report
 
 
+def broken_grains(spark: SparkSession, report: dict[str, dict]) -> dict[str, int]:
+    """By written view the number of grain keys with several rows, where there are any."""
+    found = V.grain_check({name: spark.read.parquet(v["path"]) for name, v in report.items()})
+    return {r["view_name"]: r["violations"] for r in found.where("violations > 0").collect()}
+
+
+def _published(spark: SparkSession, root: str) -> tuple[int, dict | None]:
+    """The last publication: its number (0: none yet) and what it says."""
+    base = f"{root.rstrip('/')}/_current"
+    numbers = [int(n) for n, _, folder in storage.entries(spark, base) if n.isdigit() and not folder]
+    return (max(numbers), json.loads(storage.read_text(spark, f"{base}/{max(numbers):012d}"))) if numbers else (0, None)
+
+
+def publish(spark: SparkSession, root: str, version: str, as_of) -> bool:
+    """Make ``version`` the one that readers get; False if they have a later ``as_of``."""
+    own = parse_instant(as_of).isoformat()
+    while True:
+        number, last = _published(spark, root)
+        if last is not None and last["as_of"] > own:
+            return False
+        if storage.put_if_absent(spark, f"{root.rstrip('/')}/_current/{number + 1:012d}",
+                                 json.dumps({"version": version, "as_of": own})):
+            return True
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """The last completely written version (None before the first refresh)."""
-    try:
-        last = spark.read.text(f"{root.rstrip('/')}/_current").agg(F.max("value")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return last.split(" ", 1)[1] if last else None
+    """The last published version (None before the first)."""
+    last = _published(spark, root)[1]
+    return last["version"] if last else None
 
 
 def drop_versions(spark: SparkSession, root: str, keep: int = 3) -> list[str]:

@@ -67,3 +67,30 @@ def test_expired_months_are_deleted(spark, tmp_path):
     assert BR.drop_expired(spark, str(tmp_path / "bronze"), EVENTS_AS_OF) == ["event_month=2023-10-01"]
     assert BR.read(spark, str(tmp_path / "bronze")).count() == b.count()
     assert BR.drop_expired(spark, str(tmp_path / "bronze"), EVENTS_AS_OF) == []
+
+
+def test_a_shop_under_two_tenants_stops_the_publication(spark, tmp_path):
+    b, root = events_bronze(spark, SF), str(tmp_path / "views")
+    first = refresh_all(spark, b, root, EVENTS_AS_OF)
+    assert {v["outcome"] for v in first.values()} == {"published"}
+    one, rows = current_version(spark, root), read_current(spark, root, "dashboard_kpi").count()
+    shop = b.select(F.min("shop_id")).first()[0]
+    two = b.withColumn("tenant_id", F.when((F.col("shop_id") == shop) & F.col("event_type").isin("page_view", "purchase"),
+                                           "another").otherwise(F.col("tenant_id")))
+    rep = refresh_all(spark, two, root, EVENTS_AS_OF)
+    assert {v["outcome"] for v in rep.values()} == {"refused"}
+    assert "several rows" in rep["daily_traffic"]["error"] and rep["daily_geo"]["error"] is None
+    assert current_version(spark, root) == one and read_current(spark, root, "dashboard_kpi").count() == rows
+
+
+def test_refreshes_at_once_publish_whole_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    b, root = events_bronze(spark, SF).filter("shop_id = 'shop-1'").cache(), str(tmp_path / "views")
+    days = [f"2024-01-{d} 23:59:59" for d in (20, 30)]
+    with ThreadPoolExecutor(2) as pool:
+        reps = list(pool.map(lambda t: refresh_all(spark, b, root, t, parallel=1), days))
+    assert {v["outcome"] for v in reps[1].values()} == {"published"}
+    version = current_version(spark, root)
+    assert all(f"version={version}" in v["path"] for v in reps[1].values())
+    late = refresh_all(spark, b, root, days[0])
+    assert {v["outcome"] for v in late.values()} == {"superseded"} and current_version(spark, root) == version
