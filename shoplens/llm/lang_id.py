@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ COVERED = 0.6
 #: text may have no other
 SHORT, CREDIT = 60, 3
 SMOOTHING = 0.5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -102,20 +103,23 @@ class BackoffModel:
                         met[g] += n
                 shares.append((size, 1 - sum(n == 1 for n in met.values()) / max(1, met.total())))
             self.unit[k], self.cover[k] = next((x for x in shares if x[1] >= COVERED), max(shares, key=lambda x: x[1]))
+        self.by_words, self.sizes = self.unit == 0, sorted(set(self.unit.tolist()) - {0})
+        self.whole = np.maximum(self.cover, 1e-9)
 
     def known_word(self, word: str) -> np.ndarray:
         """For each language the share of the word that it knows, by its share of known letters; below,
         the same by n-grams for words that it hasn't seen."""
         row = self.words.row.get(word)
-        whole = self.words.seen[row] if row is not None else np.zeros(len(self.langs), dtype=bool)
         out = np.zeros((2, len(self.langs)))
-        out[0] = whole & (self.unit == 0)
-        unseen = (self.unit == 0) & ~whole
-        for size in set(self.unit[self.unit > 0]):
-            out[0] = np.where(self.unit == size, self._known_grams(word, size), out[0])
+        if row is not None:
+            out[0] = self.words.seen[row] & self.by_words
+        for size in self.sizes:
+            np.copyto(out[0], self._known_grams(word, size), where=self.unit == size)
+        unseen = self.by_words & (out[0] == 0)
         if unseen.any():
-            out[1] = np.where(unseen, self._known_grams(word, CREDIT), 0)
-        return out / np.maximum(self.cover, 1e-9)
+            out[1] = self._known_grams(word, CREDIT) * unseen
+        out /= self.whole
+        return out
 
     def _known_grams(self, word: str, size: int) -> np.ndarray:
         """The share of the word's n-grams that each language has."""
@@ -136,7 +140,8 @@ class BackoffModel:
 
 
 class Scorer:
-    """Scores texts against a model; remembers the scores of recent words."""
+    """Scores texts against a model; remembers what it knows of recent words, CACHE_WORDS at most
+    before a text's own."""
 
     def __init__(self, model: BackoffModel):
         self.model = model
@@ -144,15 +149,24 @@ class Scorer:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.table = np.empty((4096, len(self.model.langs)), dtype=np.float32)
-        self.share: dict[str, np.ndarray] = {}
+        langs = len(self.model.langs)
+        self.table, self.share = np.empty((4096, langs), dtype=np.float32), np.empty((4096, 2, langs), dtype=np.float32)
+        #: words whose share is filled in
+        self.shared = 0
 
-    def _add(self, word: str) -> None:
-        k = len(self.index)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[k] = self.model.score_word(word)
-        self.index[word] = k
+    def _rows(self, words: list[str]) -> list[int]:
+        """The words' rows, known or new."""
+        rows = list(map(self.index.get, words))
+        if None not in rows:
+            return rows
+        for w in dict.fromkeys(words):
+            if w not in self.index:
+                k = len(self.index)
+                if k == len(self.table):
+                    self.table, self.share = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.share))
+                self.table[k] = self.model.score_word(w)
+                self.index[w] = k
+        return list(map(self.index.get, words))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
@@ -160,31 +174,26 @@ class Scorer:
             return UNKNOWN, 0.0
         if len(self.index) > CACHE_WORDS:
             self._clear()
-        rows = list(map(self.index.get, words))
-        if None in rows:
-            for w in set(words):
-                if w not in self.index:
-                    self._add(w)
-            rows = list(map(self.index.get, words))
+        rows = self._rows(words)
         total = self.table[rows].sum(axis=0, dtype=np.float64)
         total -= total.max()
         p = np.exp(total)
         best = int(p.argmax())
         return self.model.langs[best], float(p[best] / p.sum())
 
-
     def known(self, text: str | None, lang: str) -> float:
         """How much of a text is known to ``lang``, by what of its own texts is: about 1 for these."""
         found = Counter(words_of(text)) if text and lang in self.model.langs else None
         if not found:
             return 0.0
-        if len(self.share) > CACHE_WORDS:
-            self.share = {}
-        for w in [w for w in found if w not in self.share]:  # a difference of key views would walk the whole cache
-            self.share[w] = self.model.known_word(w)
-        k = self.model.langs.index(lang)
+        rows = self._rows(list(found))
+        if self.shared < len(self.index):
+            new = list(islice(reversed(self.index), len(self.index) - self.shared))
+            for k, w in enumerate(reversed(new), self.shared):
+                self.share[k] = self.model.known_word(w)
+            self.shared = len(self.index)
         letters = np.array([n * len(w) for w, n in found.items()])
-        seen, alike = letters @ np.array([self.share[w][:, k] for w in found])
+        seen, alike = letters @ self.share[rows, :, self.model.langs.index(lang)].astype(np.float64)
         return float((seen + min(alike, SHORT)) / letters.sum())
 
 
@@ -221,9 +230,7 @@ def predict(docs: DataFrame, model: BackoffModel, known: bool = False) -> DataFr
     def identify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in texts:
-            rows = [scorer(t) for t in batch]
-            if known:
-                rows = [(lang, score, scorer.known(t, lang)) for (lang, score), t in zip(rows, batch, strict=True)]
+            rows = [(*found, scorer.known(t, found[0])) if known else found for t in batch for found in (scorer(t),)]
             yield pd.DataFrame(rows, columns=list(names))
 
     return with_struct(docs, identify("text"), names)
