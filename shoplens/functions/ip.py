@@ -71,14 +71,20 @@ def ip_hex_literal(text: str) -> str:
 def with_client_ip(df: DataFrame, addr: str, out: str = "ip_hex") -> DataFrame:
     """``parse_client_ip`` as staged projections: the host text and the IPv6 groups are
     computed once each and then referenced, instead of re-evaluating the regexes inside
-    every branch of one large expression (same result, several times faster)."""
+    every branch of one large expression (same result, several times faster).
+
+    Each step is pinned by an always true condition that isn't deterministic: the optimizer would else put
+    the steps together again, and a filter on the result would repeat all of them for each of its uses."""
+    def once(c: Column) -> Column:
+        return F.when(F.spark_partition_id() >= 0, c)
+
     h, s, s2, g = "_ip_h", "_ip_s", "_ip_s2", "_ip_g"
-    d = df.withColumn(h, strip_host(addr))
-    d = d.withColumn(s, F.when(~F.col(h).rlike(rf"^{_V4}$") & F.col(h).contains(":"), F.lower(h)))
+    d = df.withColumn(h, once(strip_host(addr)))
+    d = d.withColumn(s, once(F.when(~F.col(h).rlike(rf"^{_V4}$") & F.col(h).contains(":"), F.lower(h))))
     tail4 = F.regexp_extract(F.col(s), rf"({_V4})$", 1)
-    d = d.withColumn(s2, F.when(tail4 != "", F.concat(
+    d = d.withColumn(s2, once(F.when(tail4 != "", F.concat(
         F.regexp_replace(F.col(s), rf"{_V4}$", ""), F.substring(_v4_hex(tail4), 1, 4), F.lit(":"),
-        F.substring(_v4_hex(tail4), 5, 4))).otherwise(F.col(s)))
+        F.substring(_v4_hex(tail4), 5, 4))).otherwise(F.col(s))))
     halves = F.split(F.col(s2), "::", -1)
 
     def groups(x: Column) -> Column:
@@ -86,9 +92,9 @@ def with_client_ip(df: DataFrame, addr: str, out: str = "ip_hex") -> DataFrame:
 
     head, tail = groups(halves[0]), groups(F.element_at(halves, -1))
     fill = 8 - F.size(head) - F.size(tail)
-    d = d.withColumn(g, F.when(F.col(s).rlike(r"^[0-9a-f:.]+$"), F.when(F.size(halves) == 1, F.split(F.col(s2), ":"))
-                     .when((F.size(halves) == 2) & (fill >= 1), F.concat(head, F.array_repeat(F.lit("0"), fill), tail))))
+    d = d.withColumn(g, once(F.when(F.col(s).rlike(r"^[0-9a-f:.]+$"), F.when(F.size(halves) == 1, F.split(F.col(s2), ":"))
+                     .when((F.size(halves) == 2) & (fill >= 1), F.concat(head, F.array_repeat(F.lit("0"), fill), tail)))))
     ok = (F.size(g) == 8) & F.forall(g, lambda x: x.rlike(r"^[0-9a-f]{1,4}$"))
     v6 = F.when(ok, F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))
     v4 = F.when(F.col(h).rlike(rf"^{_V4}$"), F.concat(F.lit(V4_PREFIX), _v4_hex(F.col(h))))
-    return d.withColumn(out, F.coalesce(v4, v6)).drop(h, s, s2, g)
+    return d.withColumn(out, once(F.coalesce(v4, v6))).drop(h, s, s2, g)

@@ -30,11 +30,12 @@ def valid_orders(bronze: DataFrame, since: Column | None = None) -> DataFrame:
 
 def guarded_order_events(bronze: DataFrame, since: Column | None = None,
                          valid_since: Column | None = None, require_order_id: bool = True,
-                         extra_filter: Column | None = None) -> DataFrame:
+                         extra_filter: Column | None = None, bought: DataFrame | None = None) -> DataFrame:
     """Purchases plus cancels whose order has a purchase.
 
     ``since`` bounds the events themselves, ``valid_since`` bounds the purchases that
-    make an order valid (None = all of bronze)."""
+    make an order valid (None = all of bronze). ``bought`` (shop_id, order_id) is looked up
+    instead of bronze's purchases, where an index has them."""
     ev = bronze.filter(F.col("event_type").isin("purchase", "order_cancel"))
     if require_order_id:
         ev = ev.filter(F.col("order_id").isNotNull())
@@ -47,7 +48,8 @@ def guarded_order_events(bronze: DataFrame, since: Column | None = None,
     purchases = ev.filter(F.col("event_type") == "purchase")
     cancels = ev.filter(F.col("event_type") == "order_cancel")
     asked = cancels.filter(F.col("order_id").isNotNull()).select("shop_id", "order_id").distinct()
-    bought = _purchases(bronze, valid_since).join(asked, ["shop_id", "order_id"], "left_semi").distinct()
+    known = _purchases(bronze, valid_since) if bought is None else bought.select("shop_id", "order_id")
+    bought = known.join(asked, ["shop_id", "order_id"], "left_semi").distinct()
     return purchases.unionByName(cancels.join(bought, ["shop_id", "order_id"], "left_semi"))
 
 

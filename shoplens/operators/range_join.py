@@ -37,8 +37,8 @@ def network_keys(networks: DataFrame) -> DataFrame:
     return d.withColumn("key", F.substring("net_lo", F.lit(1), F.col("digits")))
 
 
-def geo_lookup(df: DataFrame, ip_hex: str, networks: DataFrame) -> DataFrame:
-    """Adds geo_country, geo_subject, geo_city (relabelled; NULLs on a miss)."""
+def geo_labels(addresses: DataFrame, ip_hex: str, networks: DataFrame) -> DataFrame:
+    """(_ip, geo_country, geo_subject, geo_city) of the located ones among the distinct ``addresses``."""
     nets = network_keys(networks).select(
         "digits", "key", "net_lo", "net_hi", F.col("country_iso").alias("_country"),
         F.col("subj_iso").alias("_subj_iso"), pick_name("subj_names").alias("_subject"),
@@ -46,12 +46,22 @@ def geo_lookup(df: DataFrame, ip_hex: str, networks: DataFrame) -> DataFrame:
     lengths = sorted(r["digits"] for r in nets.select("digits").distinct().collect())  # 33 at most
     beginnings = F.array(*[F.struct(F.lit(n).alias("digits"), F.substring("_ip", 1, n).alias("key")) for n in lengths]) \
         if lengths else F.array().cast("array<struct<digits: int, key: string>>")
-    asked = df.filter(F.col(ip_hex).isNotNull()).select(F.col(ip_hex).alias("_ip")).distinct() \
+    asked = addresses.filter(F.col(ip_hex).isNotNull()).select(F.col(ip_hex).alias("_ip")).distinct() \
         .select("_ip", F.inline(beginnings))
     country, subject = region_relabel(F.col("_country"), F.col("_subject"), F.col("_subj_iso"))
-    found = asked.join(nets, ["digits", "key"]).filter(F.col("_ip").between(F.col("net_lo"), F.col("net_hi"))).select(
+    return asked.join(nets, ["digits", "key"]).filter(F.col("_ip").between(F.col("net_lo"), F.col("net_hi"))).select(
         "_ip", F.nullif(country, F.lit("")).alias("geo_country"), F.nullif(subject, F.lit("")).alias("geo_subject"),
         F.nullif(F.col("_city"), F.lit("")).alias("geo_city"))
+
+
+def with_labels(df: DataFrame, ip_hex: str, labels: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``geo_labels``, NULL on a miss. Rows without an address are dealt out by a hash."""
     plain = [c for c, t in df.dtypes if t in ("string", "timestamp", "bigint", "int")]
     at = F.coalesce(F.col(ip_hex), F.concat(F.lit("none "), F.xxhash64(*plain).cast("string")))
-    return df.withColumn("_at", at).join(found, F.col("_at") == F.col("_ip"), "left").drop("_at", "_ip")
+    return df.withColumn("_at", at).join(labels, F.col("_at") == F.col("_ip"), "left").drop("_at", "_ip")
+
+
+def geo_lookup(df: DataFrame, ip_hex: str, networks: DataFrame) -> DataFrame:
+    """Adds geo_country, geo_subject, geo_city (relabelled; NULLs on a miss). Reads ``df`` again for its
+    addresses: where it is costly to make, write it first."""
+    return with_labels(df, ip_hex, geo_labels(df, ip_hex, networks))

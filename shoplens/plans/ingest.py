@@ -5,15 +5,19 @@
 2. decide per batch, **without a shuffle**: the type checks and the per-event rules are
    array expressions over the batch's own events, and the batch reason is the first
    failing event by position (all-or-nothing);
-3. locate the client address once per batch (range join with the network table) and
-   stamp that geo on every event of the batch;
-4. explode accepted batches (position kept), inherit shop/tenant from the envelope,
+3. explode accepted batches (position kept), inherit shop/tenant from the envelope,
    convert prices, store '' and 0 as NULL, default a missing timestamp to the ingest
-   time; the raw address never leaves this function.
+   time. All of a batch's events are read from the parsed body by one typed extraction;
+4. what came of it is written (``parsed``: one scan and one parse of the raw input, no exchange);
+5. the distinct client addresses of accepted batches are looked up in the network table and the
+   labels joined to the stored events. Bodies of rejected batches have no part in that; the address
+   is dropped with the written intermediate.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +25,22 @@ from ..constants import MAX_BODY_BYTES, MAX_EVENTS_PER_BATCH
 from ..functions.ip import with_client_ip
 from ..functions.price import price_variant_to_cents
 from ..functions.text import in_int32, nullify_empty, nullify_zero
-from ..operators.range_join import geo_lookup
+from ..operators.range_join import geo_labels, with_labels
 from ..operators.validate import default_timestamp, event_reason
+from ..session import checkpoint_root
 from ..sources.bridge import BRONZE_COLUMNS
 
+GEO = ("geo_country", "geo_subject", "geo_city")
 TEXT_FIELDS = ("type", "session_id", "visitor_id", "page_url", "page_title", "referrer", "utm_source",
                "utm_medium", "utm_campaign", "product_id", "product_name", "order_id", "timestamp",
                "category_id", "geo_country", "geo_subject", "geo_city", "shop_id", "tenant_id")
 
 
+#: a batch's events as they are read: text fields, and three that may hold any JSON value
+EVENTS_TYPE = "array<struct<" + ", ".join(f"{c}: string" for c in TEXT_FIELDS) + \
+    ", product_price: variant, order_total: variant, cost_price_cents: variant>>"
+
+
 def _field(v: Column, name: str) -> Column:
     return F.variant_get(v, f"$.{name}", "variant")
 
@@ -63,13 +74,9 @@ def _object_ok_types(o: Column, text_fields=TEXT_FIELDS) -> Column:
     return text_ok & _is_whole(F.try_element_at(m, F.lit("cost_price_cents")))
 
 
-def _event_reason(e: Column, ingest_ts: Column) -> Column:
-    return event_reason(_text(e, "session_id"), _text(e, "type"), _text(e, "timestamp"), ingest_ts)
-
-
 def parse_batches(raw: DataFrame) -> DataFrame:
     """One row per raw envelope with ``batch_id``, ``v`` (parsed body), ``events``
-    (array<variant>) and ``reason`` (NULL = accepted)."""
+    (array<variant>), ``rows`` (the same, typed) and ``reason`` (NULL = accepted)."""
     batch_id = F.sha2(F.concat_ws("|", F.col("ingest_ts").cast("string"), F.coalesce("remote_addr", F.lit("")),
                                   F.coalesce("body", F.lit(""))), 256)
     # the body is read up to the byte limit; a longer body is cut there (and a cut
@@ -86,7 +93,10 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     ev_v = _field(F.col("v"), "events")
     events = F.when(ev_v.isNull() | _kind(ev_v).startswith("ARRAY"),
                     F.variant_get(F.col("v"), "$.events", "array<variant>"))
-    d = d.withColumn("events", events)
+    # all events in one extraction; null if a field's type is wrong, which rejects the batch anyway
+    rows = F.when(ev_v.isNull() | _kind(ev_v).startswith("ARRAY"),
+                  F.try_variant_get(F.col("v"), "$.events", EVENTS_TYPE))
+    d = d.withColumn("events", events).withColumn("rows", rows)
     types_ok = (_is_text(_field(F.col("v"), "shop_id")) & _is_text(_field(F.col("v"), "tenant_id"))
                 & (ev_v.isNull() | _kind(ev_v).startswith("ARRAY"))
                 & F.coalesce(F.forall("events", lambda e: _kind(e).startswith("OBJECT")
@@ -94,7 +104,8 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     shop = _text(F.col("v"), "shop_id")
     n = F.coalesce(F.size("events"), F.lit(0))
     first_bad = F.try_element_at(F.filter(
-        F.transform("events", lambda e, i: F.struct(i.alias("pos"), _event_reason(e, F.col("ingest_ts")).alias("r"))),
+        F.transform("rows", lambda e, i: F.struct(i.alias("pos"), event_reason(
+            e["session_id"], e["type"], e["timestamp"], F.col("ingest_ts")).alias("r"))),
         lambda x: x["r"].isNotNull()), F.lit(1))["r"]
     reason = (F.when(F.col("v").isNull() | ~F.coalesce(_kind(F.col("v")), F.lit("")).startswith("OBJECT")
                      | ~types_ok, F.lit("invalid_json"))
@@ -107,51 +118,47 @@ def parse_batches(raw: DataFrame) -> DataFrame:
 MONEY = ("product_price_cents", "order_total_cents", "cost_price_cents")
 
 
-def _bronze_events(keep_client_geo: bool = False) -> Column:
-    """array<struct> of the bronze rows of a batch's events, money still 64 bits wide.
+def _bronze_events(client_geo: bool = False) -> Column:
+    """array<struct> of the bronze rows of a batch's events, money still 64 bits wide, without geo or with
+    what the client sent.
 
     All columns of an event are built inside one ``transform``: the lambda is evaluated per
     element outside the generated code, which keeps the stage's generated method small (a
-    flat projection of ~25 variant extractions exceeds the JVM method size limit)."""
+    flat projection of ~25 extractions exceeds the JVM method size limit)."""
     env = F.col("v")
 
-    def opt(e: Column, name: str) -> Column:
-        return nullify_empty(_text(e, name))
-
-    def money(e: Column, name: str) -> Column:
-        return nullify_zero(price_variant_to_cents(_field(e, name)))
-
     def one(e: Column, i: Column) -> Column:
-        geo = [(F.coalesce(F.col(g), opt(e, g)) if keep_client_geo else F.col(g)).alias(g)
-               for g in ("geo_country", "geo_subject", "geo_city")]
+        def opt(name: str) -> Column:
+            return nullify_empty(e[name])
+
         return F.struct(
             F.concat_ws("-", F.col("batch_id"), i.cast("string")).alias("id"),
-            F.coalesce(opt(e, "shop_id"), _text(env, "shop_id")).alias("shop_id"),
-            F.coalesce(opt(e, "tenant_id"), nullify_empty(_text(env, "tenant_id"))).alias("tenant_id"),
-            _text(e, "session_id").alias("session_id"),
-            opt(e, "visitor_id").alias("visitor_id"),
-            _text(e, "type").alias("event_type"),
-            *[opt(e, c).alias(c) for c in ("page_url", "page_title", "referrer", "utm_source", "utm_medium",
-                                           "utm_campaign", "product_id", "product_name")],
-            money(e, "product_price").alias("product_price_cents"),
-            opt(e, "order_id").alias("order_id"),
-            money(e, "order_total").alias("order_total_cents"),
-            default_timestamp(_text(e, "timestamp"), F.col("ingest_ts")).alias("event_timestamp"),
+            F.coalesce(opt("shop_id"), _text(env, "shop_id")).alias("shop_id"),
+            F.coalesce(opt("tenant_id"), nullify_empty(_text(env, "tenant_id"))).alias("tenant_id"),
+            e["session_id"].alias("session_id"),
+            opt("visitor_id").alias("visitor_id"),
+            e["type"].alias("event_type"),
+            *[opt(c).alias(c) for c in ("page_url", "page_title", "referrer", "utm_source", "utm_medium",
+                                        "utm_campaign", "product_id", "product_name")],
+            nullify_zero(price_variant_to_cents(e["product_price"])).alias("product_price_cents"),
+            opt("order_id").alias("order_id"),
+            nullify_zero(price_variant_to_cents(e["order_total"])).alias("order_total_cents"),
+            default_timestamp(e["timestamp"], F.col("ingest_ts")).alias("event_timestamp"),
             F.col("ingest_ts").alias("created_at"),
-            F.variant_get(e, "$.cost_price_cents", "bigint").alias("cost_price_cents"),
-            _text(e, "category_id").alias("category_id"),
-            *geo)
+            F.variant_get(e["cost_price_cents"], "$", "bigint").alias("cost_price_cents"),
+            e["category_id"].alias("category_id"),
+            *([opt(g).alias(f"client_{g}") for g in GEO] if client_geo else []))
 
-    return F.transform("events", one)
+    return F.transform("rows", one)
 
 
 def _with_month(rows: DataFrame) -> DataFrame:
     return rows.withColumn("event_month", F.trunc(F.to_date("created_at"), "MM"))
 
 
-def flatten(accepted: DataFrame, keep_client_geo: bool = False) -> DataFrame:
-    """Accepted batches -> one bronze row per event (array position kept in ``id``)."""
-    return _with_month(accepted.select(F.inline(_bronze_events(keep_client_geo))))
+def flatten(accepted: DataFrame) -> DataFrame:
+    """Accepted batches -> one row per event, not located (array position kept in ``id``)."""
+    return _with_month(accepted.select(F.inline(_bronze_events())))
 
 
 def _fits() -> Column:
@@ -161,25 +168,32 @@ def _fits() -> Column:
     return ok
 
 
-def outcomes(raw: DataFrame, networks: DataFrame, keep_client_geo: bool = False) -> DataFrame:
-    """Everything ingest makes of ``raw`` in one pass, one parse a batch.
+def parsed(raw: DataFrame, keep_client_geo: bool = False) -> DataFrame:
+    """Everything ingest makes of ``raw`` but the geo, in one scan, one parse a batch and no exchange.
 
     ``kind`` is ``bronze`` (a stored event), ``quarantine`` (an event of an accepted batch whose
-    amount does not fit 32 bits) or ``rejected`` (a batch, with ``reason`` and ``body``). Only
-    accepted batches are located. The client address is dropped here."""
+    amount does not fit 32 bits) or ``rejected`` (a batch, with ``reason`` and ``body``). ``ip_hex`` is the
+    client address of accepted batches."""
     b = with_client_ip(parse_batches(raw), "remote_addr", "ip_hex")
-    b = b.withColumn("ip_hex", F.when(F.col("reason").isNull(), F.col("ip_hex"))).drop("remote_addr")
-    located = geo_lookup(b, "ip_hex", networks).drop("ip_hex")
-    rows = located.select(
-        "batch_id", "ingest_ts", F.col("reason"), F.when(F.col("reason").isNotNull(), F.col("body")).alias("body"),
-        F.inline_outer(F.when(F.col("reason").isNull(), _bronze_events(keep_client_geo))))
-    kind = F.when(F.col("reason").isNotNull(), F.lit("rejected")).when(_fits(), F.lit("bronze")) \
-        .otherwise(F.lit("quarantine"))
+    fine = F.col("reason").isNull()
+    rows = b.select(
+        "batch_id", "ingest_ts", "reason", F.when(~fine, F.col("body")).alias("body"),
+        F.when(fine, F.col("ip_hex")).alias("ip_hex"), F.inline_outer(F.when(fine, _bronze_events(keep_client_geo))))
+    kind = F.when(~fine, F.lit("rejected")).when(_fits(), F.lit("bronze")).otherwise(F.lit("quarantine"))
     return _with_month(rows.withColumn("kind", kind))
 
 
-def bronze_rows(made: DataFrame) -> DataFrame:
-    good = made.filter(F.col("kind") == "bronze")
+def located(events: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored events of ``parsed`` with their geo, without the address."""
+    out = with_labels(events, "ip_hex", labels).drop("ip_hex")
+    for g in GEO:
+        if f"client_{g}" in out.columns:
+            out = out.withColumn(g, F.coalesce(g, f"client_{g}")).drop(f"client_{g}")
+    return out
+
+
+def bronze_rows(made: DataFrame, labels: DataFrame) -> DataFrame:
+    good = located(made.filter(F.col("kind") == "bronze"), labels)
     for c in MONEY:
         good = good.withColumn(c, F.col(c).cast("int"))
     return good.select(*BRONZE_COLUMNS)
@@ -189,14 +203,28 @@ def rejected_batches(made: DataFrame) -> DataFrame:
     return made.filter(F.col("kind") == "rejected").select("batch_id", "ingest_ts", "reason", "body")
 
 
-def quarantined_rows(made: DataFrame) -> DataFrame:
+def quarantined_rows(made: DataFrame, labels: DataFrame) -> DataFrame:
     """Events whose amounts do not fit, with these as 64-bit numbers (saturated)."""
-    bad = made.filter(F.col("kind") == "quarantine").withColumn("reason", F.lit("amount_out_of_range"))
+    bad = located(made.filter(F.col("kind") == "quarantine"), labels).withColumn("reason", F.lit("amount_out_of_range"))
     return bad.select(*BRONZE_COLUMNS, "reason", "batch_id")
 
 
-def ingest(raw: DataFrame, networks: DataFrame, keep_client_geo: bool = False
+def write_parsed(raw: DataFrame, networks: DataFrame, path: str, keep_client_geo: bool = False
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Write ``parsed(raw)`` below ``path``, by kind, and the labels of its addresses; both read back."""
+    spark = raw.sparkSession
+    made = parsed(raw, keep_client_geo)
+    made.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("kind").parquet(f"{path}/parsed")
+    back = spark.read.schema(made.schema).parquet(f"{path}/parsed")
+    labels = geo_labels(back.filter(F.col("kind") != "rejected"), "ip_hex", networks)
+    labels.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/labels")
+    return back, spark.read.schema(labels.schema).parquet(f"{path}/labels")
+
+
+def ingest(raw: DataFrame, networks: DataFrame, keep_client_geo: bool = False, path: str | None = None
            ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bronze rows, rejected batches, quarantined rows) of ``outcomes``."""
-    made = outcomes(raw, networks, keep_client_geo)
-    return bronze_rows(made), rejected_batches(made), quarantined_rows(made)
+    """(bronze rows, rejected batches, quarantined rows) of ``raw``, which is read once: the intermediate is
+    written below ``path``, by default a new folder in the shared checkpoint folder."""
+    path = path or f"{checkpoint_root(raw.sparkSession)}/ingest-{uuid.uuid4().hex}"
+    made, labels = write_parsed(raw, networks, path, keep_client_geo)
+    return bronze_rows(made, labels), rejected_batches(made), quarantined_rows(made, labels)

@@ -91,11 +91,11 @@ def daily_traffic(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBAC
 # VW-2 daily_orders
 # ---------------------------------------------------------------------------------------
 def deduped_orders(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK,
-                   with_tenant: bool = True) -> DataFrame:
+                   with_tenant: bool = True, bought: DataFrame | None = None) -> DataFrame:
     """One row per (shop[, tenant], day, order, type): max total, max session.
 
-    The purchase that validates a cancel is looked up in all of bronze (no time bound)."""
-    ev = guarded_order_events(bronze, since=lower_bound(as_of, lookback), valid_since=None)
+    The purchase that validates a cancel is looked up in all of bronze (no time bound), or in ``bought``."""
+    ev = guarded_order_events(bronze, since=lower_bound(as_of, lookback), valid_since=None, bought=bought)
     keys = ["shop_id"] + (["tenant_id"] if with_tenant else []) + ["day", "order_id", "event_type"]
     return (ev.select("shop_id", "tenant_id", _day(), "order_id", "event_type",
                       "order_total_cents", "session_id")
@@ -152,6 +152,11 @@ def daily_channels(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBA
 GEO = ["geo_country", "geo_subject", "geo_city"]
 
 
+def geo_rank() -> Column:
+    """A browsing event's claim to be its session's canonical geo: the smallest one has it."""
+    return F.struct(F.col("geo_country").isNull().alias("no_geo"), "created_at", "id", *GEO)
+
+
 def _session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
     """Per (shop, session): the canonical geo and the set of browsing days.
 
@@ -160,9 +165,7 @@ def _session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
     are the sort key, no window and no sort by time. The day set is bounded by the
     lookback window (at most ~400 days)."""
     b = (_since(bronze, lower_bound(as_of, lookback)).filter(_is_browse())
-         .select("shop_id", "session_id", _day(),
-                 F.struct(F.col("geo_country").isNull().alias("no_geo"), "created_at", "id",
-                          *GEO).alias("m")))
+         .select("shop_id", "session_id", _day(), geo_rank().alias("m")))
     # one aggregation per session, partial map-side then final; together with the
     # collect_set it plans as an ObjectHashAggregate (hash-based, spills by sorting)
     return b.groupBy("shop_id", "session_id").agg(
@@ -181,6 +184,21 @@ def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK,
     Each session maps to exactly one geo triple (its canonical browsing geo), each order to
     its session's triple (NULLs when unknown), so the counts are disjoint and additive."""
     sd = _session_days(bronze, as_of, lookback)
+    if dedup_with_tenant is None:
+        oe = deduped_orders(bronze, as_of, lookback, with_tenant=False)
+    else:
+        oe = without_tenant(dedup_with_tenant)
+    return geo_of_sessions(sd, oe)
+
+
+def without_tenant(dedup_with_tenant: DataFrame) -> DataFrame:
+    """Per (shop, day, order, type) the max over tenants of the per-tenant maxima."""
+    return dedup_with_tenant.groupBy("shop_id", "day", "order_id", "event_type").agg(
+        F.max("order_total_cents").alias("order_total_cents"), F.max("session_id").alias("session_id"))
+
+
+def geo_of_sessions(sd: DataFrame, oe: DataFrame) -> DataFrame:
+    """daily_geo of sessions (canonical geo ``m``, browsing ``days``) and order rows by (shop, day, order, type)."""
     sg = sd.select("shop_id", "session_id", *[F.col("m")[g].alias(g) for g in GEO])
     sessions = (sd.select("shop_id", F.explode("days").alias("day"),
                           *[F.col("m")[g].alias(g) for g in GEO])
@@ -188,12 +206,6 @@ def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK,
                   .agg(F.count(F.lit(1)).alias("sessions"),
                        F.lit(0).cast("long").alias("orders"),
                        F.lit(0).cast("long").alias("revenue_cents")))
-    if dedup_with_tenant is None:
-        oe = deduped_orders(bronze, as_of, lookback, with_tenant=False)
-    else:
-        # per (shop, day, order, type) the max over tenants of the per-tenant maxima
-        oe = dedup_with_tenant.groupBy("shop_id", "day", "order_id", "event_type").agg(
-            F.max("order_total_cents").alias("order_total_cents"), F.max("session_id").alias("session_id"))
     orders = (oe.join(sg, ["shop_id", "session_id"], "left")
                 .groupBy("shop_id", "day", *GEO)
                 .agg(*net_order_aggs())

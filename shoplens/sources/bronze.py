@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import parse_instant, sql_ts
 from . import storage
+from .table_log import TableLog
 
 BRONZE_SCHEMA = (
     "id string, shop_id string, tenant_id string, session_id string, visitor_id string, "
@@ -29,8 +30,18 @@ BRONZE_SCHEMA = (
     "geo_subject string, geo_city string, event_month date")
 
 
+def log(spark: SparkSession, path: str) -> TableLog:
+    """The bronze table at ``path`` as a logged one (the streaming ingest writes it so)."""
+    return TableLog(spark, path, BRONZE_SCHEMA, "event_month", ("shop_id", "created_at"))
+
+
+def is_logged(spark: SparkSession, path: str) -> bool:
+    return bool(storage.entries(spark, f"{path.rstrip('/')}/_log"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BRONZE_SCHEMA).parquet(path)
+    """The table at ``path``: the current version of a logged one, else all its files."""
+    return log(spark, path).read() if is_logged(spark, path) else spark.read.schema(BRONZE_SCHEMA).parquet(path)
 
 
 def _month(t: dt.datetime) -> dt.date:
@@ -69,7 +80,7 @@ def write(df: DataFrame, path: str, mode: str = "append") -> None:
     is too big for one task into several (skew) and merges small ones - without the extra
     sampling pass over the input that a range repartition would cost. Within each file the
     rows are sorted by (shop_id, created_at) so that min/max statistics prune well.
-    Streaming appends use the file sink instead."""
+    Streaming appends go to the table's log instead."""
     (df.hint("rebalance", "event_month")
        .sortWithinPartitions("event_month", "shop_id", "created_at")
        .write.mode(mode).partitionBy("event_month").parquet(path))
@@ -88,8 +99,11 @@ def apply_retention(bronze: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 
 def drop_expired(spark: SparkSession, path: str, as_of, days: int = 30) -> list[str]:
-    """Delete the month folders that retention drops, and return their names. The streaming ingest
-    writes plain partition folders without a sink log, so readers just no longer see them."""
+    """Take the months that retention drops out of the table, and return their folders' names. A logged table
+    just no longer lists them (``vacuum`` deletes the files once nobody reads them); in a plain one they
+    are deleted."""
+    if is_logged(spark, path):
+        return [f"event_month={m}" for m in log(spark, path).expire(retention_cutoff(as_of, days).isoformat())]
     cutoff = f"event_month={retention_cutoff(as_of, days).isoformat()}"
     gone = [f for f in storage.folders(spark, path) if f.startswith("event_month=") and f < cutoff
             and not f.endswith("__HIVE_DEFAULT_PARTITION__")]

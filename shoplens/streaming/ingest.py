@@ -1,17 +1,17 @@
 """Continuous ingest (ST-1..3): raw envelopes stream -> bronze, rejects and quarantine.
 
 One query parses each envelope once. A micro-batch is first written to a staging folder below
-the checkpoint, then its three outcomes are copied from there:
+the checkpoint, by outcome, then its three outcomes are copied from there:
 
-* events to bronze, partitioned by ``event_month`` and ``ingest_batch``;
+* events to bronze, a logged table (``sources/table_log.py``): one commit a micro-batch, which is made
+  once however often the micro-batch runs, and small folders are merged as they pile up;
 * rejected batches (dead letters) to ``rejects/batches``, with reason and body;
 * events of accepted batches with an amount beyond 32 bits to ``rejects/quarantine``.
 
-Each copy overwrites the partitions of its own micro-batch only (named by the query's id and the
-batch's number), so a micro-batch that is run again replaces its output: nothing is lost and
-nothing is doubled. Micro-batches are bounded at the source (``maxFilesPerTrigger`` / for
-Kafka ``maxOffsetsPerTrigger``) and triggered every few seconds, like the service's
-1000-rows-or-5-seconds flush.
+The copies to ``rejects`` overwrite the partition of their own micro-batch only (named by the query's id
+and the batch's number). So nothing is lost and nothing is doubled. Micro-batches are bounded at the source
+(``maxFilesPerTrigger`` / for Kafka ``maxOffsetsPerTrigger``) and triggered every few seconds, like the
+service's 1000-rows-or-5-seconds flush.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import bronze_rows, outcomes, quarantined_rows, rejected_batches
+from ..plans.ingest import bronze_rows, quarantined_rows, rejected_batches, write_parsed
+from ..sources import bronze as BR
 from ..sources import envelopes as ENV
 
 
@@ -38,15 +39,13 @@ def start_bronze_ingest(spark: SparkSession, raw_path: str, networks: DataFrame,
 
     def land(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
-        name = f"{own.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
-        staged = f"{checkpoint}/staged"
-        made = outcomes(batch, networks)
-        made.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
-        made = own.read.schema(made.schema).parquet(staged)
-        _replace(bronze_rows(made).sortWithinPartitions("event_month", "shop_id", "created_at"),
-                 bronze_path, name, "event_month")
-        _replace(rejected_batches(made), f"{rejects_path}/batches", name)
-        _replace(quarantined_rows(made), f"{rejects_path}/quarantine", name)
+        query = own.sparkContext.getLocalProperty("sql.streaming.queryId")
+        made, labels = write_parsed(batch, networks, f"{checkpoint}/staged")
+        table = BR.log(own, bronze_path)
+        table.append(bronze_rows(made, labels), query, batch_id)
+        table.compact()
+        _replace(rejected_batches(made), f"{rejects_path}/batches", f"{query}-{batch_id}")
+        _replace(quarantined_rows(made, labels), f"{rejects_path}/quarantine", f"{query}-{batch_id}")
 
     w = raw.writeStream.foreachBatch(land).option("checkpointLocation", f"{checkpoint}/ingest") \
         .queryName("shoplens_bronze")

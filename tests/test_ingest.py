@@ -157,3 +157,23 @@ def test_kafka_records_map_to_raw(spark):
     got = [tuple(r) for r in kafka_records_to_raw(k).collect()]
     assert got == [(dt.datetime(2026, 6, 22, 12), "1.2.3.4:5", '{"shop_id":"s","events":[]}'),
                    (dt.datetime(2026, 6, 22, 13), None, "{}")]
+
+
+def test_one_scan_one_parse_and_no_payload_in_an_exchange(spark, tmp_path):
+    import re
+
+    from shoplens.plans.ingest import bronze_rows, parsed, rejected_batches, write_parsed
+    from shoplens.sources import envelopes as ENV
+    body = '{"shop_id":"s","events":[{"type":"page_view","session_id":"s1"}]}'
+    ENV.write(_raw(spark, [body, "{"]), str(tmp_path / "raw"))
+    execution = parsed(ENV.read(spark, str(tmp_path / "raw")))._jdf.queryExecution()
+    plan = execution.executedPlan().toString()
+    assert len(re.findall(r"FileScan json", plan)) == 1 and "Exchange" not in plan
+    assert len(re.findall(r"parseJson|ParseJson|parse_json", execution.optimizedPlan().toString())) == 1
+    made, labels = write_parsed(ENV.read(spark, str(tmp_path / "raw")), _networks(spark), str(tmp_path / "staged"))
+    for df in (bronze_rows(made, labels), rejected_batches(made)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanged = [x for x in re.split(r"\n", plan) if "Exchange" in x]
+        assert not any("body" in x for x in exchanged) and "/raw" not in plan
+        assert all("Broadcast" in x for x in exchanged)
+    assert bronze_rows(made, labels).count() == rejected_batches(made).count() == 1

@@ -66,13 +66,13 @@ def test_approx_forms_close_to_exact(spark):
 
 def test_late_purchase_reaches_back_to_an_old_cancel(spark):
     from conftest import events_df
-    from shoplens.streaming.incremental import affected_days
+    from shoplens.streaming.incremental import affected_days, order_days, session_days
     old = events_df(spark, [dict(shop_id="a", session_id="s1", event_type="order_cancel", order_id="o1",
                                  created_at="2026-01-02 10:00:00")])
     new = events_df(spark, [dict(id="n", shop_id="a", session_id="s2", event_type="purchase", order_id="o1",
                                  created_at="2026-03-12 10:00:00")])
-    days = {str(r["day"]) for r in affected_days(new, old.unionByName(new)).collect()}
-    assert days == {"2026-01-02", "2026-03-12"}
+    found = affected_days(new, old.unionByName(new), session_days(old), order_days(old))
+    assert {str(r["day"]) for r in found.collect()} == {"2026-01-02", "2026-03-12"}
 
 
 def test_ingest_restarts_without_loss(spark, tmp_path):
