@@ -6,8 +6,10 @@ with the smallest page_id is a response and the others revisit it.
 
 The index has two levels. Captures are sorted by key, the URL with its host reversed, and
 written as lines in gzip blocks of BLOCK_LINES; the sparse directory keeps each block's first
-key, file and range. A lookup searches the directory by bisection, reads the few blocks that
-can hold the key by their ranges, and then the records by theirs.
+and last key, file and range. A lookup finds a key's index files by bisection among the files' ends,
+which are few, and its blocks by bisection in those files' parts of the directory. Then the blocks are
+dealt out by their number of records' bytes; each is read by its range, and its records by theirs, a
+few at a time. A key that holds most captures has many blocks, so it is many tasks.
 
 Files are written through pyarrow's file systems, named by a random id, and known only from
 the rows that a finished task returns: a task that is run again leaves a file that nobody reads.
@@ -39,12 +41,19 @@ from shoplens.llm.common import fresh_path, staged
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 1000
+#: captures of an index file, and files at most: beyond that these grow
+FILE_LINES, MAX_FILES = 500_000, 1 << 16
+#: code points of a key by which index files are told apart
+END_CHARS = 200
+#: bytes of archives that a reading task takes, and records that it holds
+TASK_BYTES, HELD_RECORDS = 32 << 20, 200
 WRITTEN = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 
 CAPTURE = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = "first string, last string, file string, offset long, length long, lines long"
+DIRECTORY = "first string, last string, file string, offset long, length long, lines long, bytes long"
+BLOCK = "file string, offset long, length long, bytes long, keys array<string>"
 RECORD = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
           "refers_to long, payload binary")
 
@@ -178,15 +187,15 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
     """Write the captures, sorted by key, in blocks below ``root``; returns the directory."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, stream, at = "", None, 0
+        name, stream, at, size = "", None, 0, 0
         made, lines = [], []
 
         def flush() -> None:
-            nonlocal at, lines
+            nonlocal at, lines, size
             block = gzip.compress("".join(f"{k} {rest}\n" for k, rest in lines).encode(), 6, mtime=0)
             stream.write(block)
-            made.append((lines[0][0], lines[-1][0], name, at, len(block), len(lines)))
-            at, lines = at + len(block), []
+            made.append((lines[0][0], lines[-1][0], name, at, len(block), len(lines), size))
+            at, lines, size = at + len(block), [], 0
 
         for b in batches:
             for key, page_id, file, offset, length in b.itertuples(index=False):
@@ -194,6 +203,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
                     name, stream = Files(root).create(".cdx.gz")
                 rest = [None if pd.isna(page_id) else int(page_id), file, int(offset), int(length)]
                 lines.append((key, json.dumps(rest)))
+                size += int(length)
                 if len(lines) == BLOCK_LINES:
                     flush()
         if lines:
@@ -203,7 +213,8 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
         if made:
             yield _frame(made, DIRECTORY)
 
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    files = min(MAX_FILES, -(-captures.count() // FILE_LINES))
+    ordered = captures.repartitionByRange(max(1, files), "key", "page_id").sortWithinPartitions("key", "page_id")
     return staged(ordered.mapInPandas(write, DIRECTORY), "directory")
 
 
@@ -221,55 +232,56 @@ def _records(files: Files, captures: list[tuple]) -> list[tuple]:
     return out
 
 
-def read_all(directory: DataFrame, archives: str, index: str) -> DataFrame:
-    """Every record, by way of the index: blocks are dealt out, each reads its records by range."""
+def _files_of(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """(key, of): the index files that can hold each key. Files cover ranges of keys that meet at their ends."""
+    ends = directory.groupBy("file").agg(F.min(F.substring("first", 1, END_CHARS)).alias("lo"),
+                                         F.max(F.substring("last", 1, END_CHARS)).alias("hi")).collect()  # MAX_FILES at most
+    ends.sort(key=lambda r: (r["lo"], r["hi"]))
+    shared = keys.sparkSession.sparkContext.broadcast(tuple([r[c] for r in ends] for c in ("lo", "hi", "file")))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks = records = None
-        for b in batches:
-            for file, offset, length in b[["file", "offset", "length"]].itertuples(index=False):
-                blocks, records = blocks or Files(index), records or Files(archives)
-                found = _captures(blocks, file, offset, length)
-                for k in range(0, len(found), 200):
-                    yield _frame(_records(records, found[k:k + 200]), RECORD)
+    @F.pandas_udf("array<string>")
+    def files(keys: pd.Series) -> pd.Series:
+        lo, hi, names = shared.value
+        return keys.str.slice(0, END_CHARS).map(lambda k: names[bisect_left(hi, k):bisect_right(lo, k)])
 
-    return directory.repartition("file", "offset").mapInPandas(read, RECORD)
+    return keys.select("key", F.explode(files("key")).alias("of"))
 
 
 def lookup(urls: DataFrame, directory: DataFrame, archives: str, index: str) -> DataFrame:
-    """The records of ``urls`` (url), by their keys; one row for each distinct key and record.
-
-    Index files cover ranges of keys (one file a partition of the index, so their list is
-    short); each file's keys are searched together in its part of the directory.
-    """
-    spans = directory.groupBy("file").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
+    """The records of ``urls`` (url), by their keys; one row for each distinct key and record."""
     keys = urls.select(F.pandas_udf(lambda s: s.map(url_key), "string")("url").alias("key")).distinct()
-    asked = keys.join(F.broadcast(spans), F.col("key").between(F.col("lo"), F.col("hi"))) \
-        .select("key", F.col("file").alias("of"))
 
-    def find(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(blocks):
-            return _frame([], RECORD)
+    def search(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         blocks = blocks.sort_values("offset")
         first, last = blocks["first"].tolist(), blocks["last"].tolist()
-        in_index, in_archives, out = Files(index), Files(archives), []
-        wanted: dict[int, set[str]] = {}
+        wanted: dict[int, list[str]] = {}
         for key in asked["key"]:
             for k in range(bisect_left(last, key), bisect_right(first, key)):
-                wanted.setdefault(k, set()).add(key)
-        for k, some in sorted(wanted.items()):
-            found = _captures(in_index, *blocks.iloc[k][["file", "offset", "length"]])
-            out += _records(in_archives, [c for c in found if c[0] in some])
-        return _frame(out, RECORD)
+                wanted.setdefault(k, []).append(key)
+        found = blocks.iloc[list(wanted)]
+        return pd.DataFrame({c: found[c] for c in ("file", "offset", "length", "bytes")} | {"keys": list(wanted.values())})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = records = None
+        for b in batches:
+            for file, offset, length, some in b[["file", "offset", "length", "keys"]].itertuples(index=False):
+                blocks, records, some = blocks or Files(index), records or Files(archives), set(some)
+                found = [c for c in _captures(blocks, file, offset, length) if c[0] in some]
+                for k in range(0, len(found), HELD_RECORDS):
+                    yield _frame(_records(records, found[k:k + HELD_RECORDS]), RECORD)
 
-    return asked.groupBy("of").cogroup(directory.groupBy("file")).applyInPandas(find, RECORD)
+    asked = _files_of(keys, directory)
+    blocks = staged(asked.groupBy("of").cogroup(directory.groupBy("file")).applyInPandas(search, BLOCK), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(urls.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return blocks.repartition(tasks, "file", "offset").mapInPandas(read, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages``, index them, and read every record back."""
+    """Write ``pages``, index them, and look all their URLs up again."""
     root = fresh_path(spark, "warc")
     directory = write_index(write_archives(pages, f"{root}/archives"), f"{root}/index")
-    return read_all(directory, f"{root}/archives", f"{root}/index")
+    return lookup(pages.select("url"), directory, f"{root}/archives", f"{root}/index")
 
 
 #: the same rows in DuckDB's SQL

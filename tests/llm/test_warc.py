@@ -38,6 +38,23 @@ def test_lookup_reads_all_records_of_a_key(spark, monkeypatch):
     assert sorted(r.page_id for r in found) == [2, 4, 5, 6, 7, *range(100, 130)]
 
 
+def test_hot_and_long_keys_over_many_files_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "FILE_LINES", 20)
+    monkeypatch.setattr(warc, "HELD_RECORDS", 3)
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    long = "http://long.example.org/" + "a" * 5000
+    rows = [(k, None if k % 3 == 0 else f"{long}{k % 7}" if k % 3 == 1 else f"http://h{k % 40}.org/", f"page {k % 50}" * 20)
+            for k in range(300)] + [(1000, "http://big.org/", "x" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' AS key", "1 AS file", "2 AS first")
+    got = warc.round_trip(spark, pages)
+    assert got.rdd.getNumPartitions() > 4
+    want = {r[0]: len(r[2]) for r in rows}
+    found = got.collect()
+    assert len(found) == len(rows) and {r.page_id: r.payload_bytes for r in found} == want
+    assert all(r.payload is None or len(r.payload) == r.payload_bytes for r in found)
+
+
 @pytest.mark.parametrize("url, key", [
     ("http://m.casino.example.com/en/1?b=2#top", "com,example,casino,m)/en/1?b=2"), ("https://www.A.org:443", "org,a)/"),
     ("http://a.org:81/X", "org,a:81)/x"), (None, "-"), ("", "-"), ("not a url", "not%20a%20url"), ("http://[", "http://[")])
