@@ -3,11 +3,16 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
 and reread as the next stage's ``docs``. All stages but the last return the columns of
 ``documents``; each works on whatever its predecessor kept. Rows with nulls, empty and very
-long texts pass as the stages' operators define it.
+long texts pass as the stages' operators define it. Columns beyond those of ``documents`` travel packed
+in one, so their names can't clash with an operator's; the last stage's results replace columns of
+the same name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,25 @@ MIN_LANG_KNOWN = 0.3
 PERCENT, BANDS = 80, 56
 
 
+OWN, REST = ("doc_id", "text", "lang", "source", "n_chars"), "corpus_pipeline_rest"
+
+
+def packed(stage: Callable) -> Callable:
+    """``stage`` for documents with columns of any further names."""
+    @wraps(stage)
+    def whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest = [c for c in docs.columns if c not in OWN]
+        if not rest:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.select(*OWN, F.struct(*(F.col(f"`{c}`") for c in rest)).alias(REST)), sf_dir)
+        made = [c for c in out.columns if c not in (*OWN, REST)]
+        kept = [c for c in docs.columns if c not in made and (c in rest or c in out.columns)]
+        return out.select(*(F.col(REST).getField(c).alias(c) if c in rest else c for c in kept), *made)
+
+    return whole
+
+
+@packed
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, those of doubtful language and those of none that was learned."""
     prepare(spark)
@@ -34,6 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(*docs.columns)
 
 
+@packed
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near copies; of rows with equal doc_id
     and text one stays, rows without doc_id all stay."""
@@ -49,12 +74,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         rows_of(left, "doc_id", again).dropDuplicates(["doc_id", "text"]))
 
 
+@packed
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the names of its kinds; ``n_chars`` counts the new texts."""
     prepare(spark)
     return pii.redact(docs)
 
 
+@packed
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that the sources' words come to their targets."""
     prepare(spark)
@@ -67,6 +94,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(*docs.columns)
 
 
+@packed
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every document; digests stand for the ids."""
     prepare(spark)
