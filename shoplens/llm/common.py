@@ -13,7 +13,6 @@ from shoplens.session import checkpoint_root
 
 #: rows and bytes of an Arrow batch: a batch of whole texts stays at a few MB
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-_SAMPLE_STEPS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,15 +52,17 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` (all, if it has fewer), chosen by a hash of ``key``.
+    """About ``rows`` rows of ``df`` (all, if it has no more), chosen by a hash of ``key`` and the row.
 
-    The choice depends on the key and the row count only, so reruns agree.
+    The choice depends on the rows and their number only, so reruns agree. Of equal rows one is taken, and
+    a key that many rows share counts as these rows, so no key makes the sample larger.
     """
     n = df.count()
     if n <= rows:
         return df
-    keep = max(1, _SAMPLE_STEPS * rows // n)
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(_SAMPLE_STEPS)) < keep)
+    below = -(1 << 63) + (1 << 64) * rows // n
+    h = F.xxhash64(F.lit("sample"), key, *(F.col(f"`{c}`") for c in df.columns))
+    return df.withColumn("__sample", h).where(F.col("__sample") < below).dropDuplicates(["__sample"]).drop("__sample")
 
 
 #: bits of a membership filter at most (8 MB); so many for each id below that

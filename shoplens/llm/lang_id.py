@@ -14,8 +14,8 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0;
 text if there is nothing to learn from. Ties go to the smaller language code. Repeated rows
 are scored alike; other columns pass through, columns named as a result are replaced.
 
-Fitting reads a bounded hash sample of the labelled texts (``sample_docs``) and keeps the
-``max_words`` most frequent (language, word) counts; both bound the model that is broadcast.
+Fitting reads a bounded hash sample of the labelled texts (``sample_docs``) and keeps each language's
+``max_words`` most frequent words; both bound the model that is broadcast.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import bounded_sample, with_struct
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 4000
-MAX_WORDS = 50_000
+MAX_WORDS = 15_000
 NGRAMS = (4, 3, 2, 1)
 #: a language is judged by the longest units of which its texts are covered to this share
 COVERED = 0.6
@@ -76,7 +76,7 @@ class BackoffModel:
     """Log frequencies per language of words, and of n-grams by length (plain tables, picklable)."""
 
     def __init__(self, counts: list[tuple[str, str, int]], letters_of: dict[str, int] | None = None):
-        """counts: (language, word, occurrences); letters_of: all letters of each language's texts, if
+        """counts: (language, word, occurrences); letters_of: all letters of each language's texts, where
         ``counts`` lacks some of their words."""
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
@@ -213,10 +213,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
 
     every = (sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    counts = every.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    letters = {}
-    if len(counts) == max_words:
-        letters = dict(map(tuple, every.groupBy("lang").agg(F.sum(F.col("n") * F.char_length("word"))).collect()))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counts = every.withColumn("rank", rank).where(F.col("rank") <= max_words).orderBy("lang", "rank").collect()
+    letters = dict(map(tuple, every.groupBy("lang").agg(F.sum(F.col("n") * F.char_length("word"))).collect()))
     return BackoffModel([(r["lang"], r["word"], r["n"]) for r in counts], letters)
 
 

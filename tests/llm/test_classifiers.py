@@ -101,3 +101,24 @@ def test_quality_of_odd_texts(spark):
     assert {r.quality for r in quality.predict(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.predict(docs.limit(0), model).collect() == []
     assert docs.where(F.col("text").isNull()).count() == 1
+
+
+def test_sample_is_bounded_whatever_the_keys(spark):
+    from pyspark.sql import functions as F
+
+    from shoplens.llm.common import bounded_sample
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    same = spark.range(20_000).select(F.lit(7).cast("long").alias("k"), F.lit("same").alias("text"))
+    for df in (rows, rows.unionByName(same), same):
+        n = bounded_sample(df, F.col("k"), 500).count()
+        assert n <= 650 and bounded_sample(df, F.col("k"), 500).count() == n
+    assert bounded_sample(rows, F.col("k"), 500).count() > 350
+    assert bounded_sample(rows, F.col("k"), 20_000).count() == 20_000
+
+
+def test_each_language_keeps_its_words(spark):
+    rows = [(k, " ".join(f"common{''.join(chr(97 + int(c)) for c in str(j))}" for j in range(300)), "aa") for k in range(30)]
+    rows += [(100 + k, "rara avis in terra", "bb") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs, max_words=50)
+    assert model.langs == ["aa", "bb"] and sum(model.words.seen[:, 1]) == 4 and sum(model.words.seen[:, 0]) == 50

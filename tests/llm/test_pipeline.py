@@ -4,6 +4,7 @@ import random
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from shoplens.llm import pii
@@ -111,3 +112,21 @@ def test_empty_table(spark, docs):
 def test_run(spark):
     got = P.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 100 and {"doc_id", "n_tokens", "ids_sha256"} <= set(got.columns)
+
+
+def test_columns_of_any_name_pass(spark, docs):
+    """Names that the stages and operators use for their own columns."""
+    names = ["id", "words", "from", "copies", "gone", "again", "lang_pred", "lang_score", "lang_known", "words_here", "size", "kept",
+             "spans", "words.here", "draw", "__copy", "n_tokens"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    at = wide
+    for name, stage in P.STAGES[:-1]:
+        narrow = sorted(map(tuple, stage(spark, at.select(*docs.columns), "").collect()), key=str)
+        at = stage(spark, at, "").cache()
+        assert at.columns == wide.columns, name
+        assert sorted(map(tuple, at.select(*docs.columns).collect()), key=str) == narrow
+        for r in at.collect():
+            assert all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for n in names), name
+    last = P.tokens(spark, at, "")
+    assert "text" not in last.columns and "gone" in last.columns and last.columns.count("n_tokens") == 1
+    assert dict(last.dtypes)["n_tokens"] == "bigint" and last.count() == at.count()
