@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BROWSE_TYPES, FUNNEL_STAGES, INTRADAY_BUCKET_SECONDS
@@ -105,7 +105,7 @@ def _kpi_select(keys: list[str]) -> list[Column]:
 
 def kpi_windows(kpi: DataFrame, period: str, as_of, from_: str | None = None,
                 to: str | None = None, shop_id: str | None = None,
-                per_shop: bool = True) -> DataFrame:
+                per_shop: bool = True, shops: DataFrame | None = None) -> DataFrame:
     """KPIs of the window and of the previous window in **one** pass over gold.
 
     The two windows never overlap (the previous one ends where the current starts), so
@@ -119,13 +119,13 @@ def kpi_windows(kpi: DataFrame, period: str, as_of, from_: str | None = None,
     keys = ["shop_id", "window_name"] if per_shop else ["window_name"]
     agg = g.withColumn("window_name", lab).filter(F.col("window_name").isNotNull()).groupBy(*keys).agg(*_kpi_aggs())
     labels = F.explode(F.array(F.lit("current"), F.lit("previous"))).alias("window_name")
-    grid = shops_of(kpi, shop_id).select("shop_id", labels) if per_shop else \
+    grid = _shop_list(kpi, shop_id, shops).select("shop_id", labels) if per_shop else \
         kpi.sparkSession.range(1).select(labels)
     return grid.join(agg, keys, "left").select(*_kpi_select(keys))
 
 
 def kpi_series(kpi: DataFrame, period: str, as_of, from_=None, to=None, shop_id=None,
-               per_shop: bool = True) -> DataFrame:
+               per_shop: bool = True, shops: DataFrame | None = None) -> DataFrame:
     """Dense daily series of the window (zeros on days without rows)."""
     w = window(period, as_of, from_, to)
     vals = ["total_revenue_cents", "total_orders", "unique_visitors", "unique_sessions", "page_views"]
@@ -136,7 +136,7 @@ def kpi_series(kpi: DataFrame, period: str, as_of, from_=None, to=None, shop_id=
         F.sum("unique_visitors").cast("long").alias("unique_visitors"),
         F.sum("unique_sessions").cast("long").alias("unique_sessions"),
         F.sum("page_views").cast("long").alias("page_views")))
-    base = shops_of(kpi, shop_id) if per_shop else kpi.sparkSession.range(1).select()
+    base = _shop_list(kpi, shop_id, shops) if per_shop else kpi.sparkSession.range(1).select()
     return densify_days(base, facts, keys, w[0], w[1], vals).select(*keys, "day", *vals)
 
 
@@ -177,35 +177,35 @@ def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
 
 
 def dashboard_series(kpi: DataFrame, bronze: DataFrame, period: str, as_of, from_=None, to=None,
-                     shop_id=None, per_shop: bool = True) -> DataFrame:
+                     shop_id=None, per_shop: bool = True, shops: DataFrame | None = None) -> DataFrame:
     """The dashboard's series: intraday buckets for a single day still in bronze,
     otherwise dense days from gold (the choice is made on the driver)."""
     from ..functions.periods import use_intraday
     w = window(period, as_of, from_, to)
     if use_intraday(w[0], w[1], parse_instant(as_of)):
-        return intraday_buckets(bronze, w[0], w[1], shop_id, per_shop)
-    return kpi_series(kpi, period, as_of, from_, to, shop_id, per_shop)
+        return intraday_buckets(bronze, w[0], w[1], shop_id, per_shop, shops)
+    return kpi_series(kpi, period, as_of, from_, to, shop_id, per_shop, shops)
 
 
 # ---------------------------------------------------------------------------------------
 # traffic (RPT-2)
 # ---------------------------------------------------------------------------------------
-def traffic_summary(traffic: DataFrame, w: Win, shop_id=None) -> DataFrame:
+def traffic_summary(traffic: DataFrame, w: Win, shop_id=None, shops: DataFrame | None = None) -> DataFrame:
     agg = _days(_shop(traffic, shop_id), w).groupBy("shop_id").agg(
         F.sum("unique_visitors").cast("long").alias("total_visitors"),
         F.sum("unique_sessions").cast("long").alias("total_sessions"),
         F.sum("page_views").cast("long").alias("total_page_views"))
-    return _zero_fill(shops_of(traffic, shop_id).join(agg, "shop_id", "left"),
+    return _zero_fill(_shop_list(traffic, shop_id, shops).join(agg, "shop_id", "left"),
                       ["total_visitors", "total_sessions", "total_page_views"])
 
 
-def traffic_series(traffic: DataFrame, w: Win, shop_id=None) -> DataFrame:
+def traffic_series(traffic: DataFrame, w: Win, shop_id=None, shops: DataFrame | None = None) -> DataFrame:
     vals = ["visitors", "sessions", "page_views"]
     facts = _days(_shop(traffic, shop_id), w).groupBy("shop_id", "day").agg(
         F.sum("unique_visitors").cast("long").alias("visitors"),
         F.sum("unique_sessions").cast("long").alias("sessions"),
         F.sum("page_views").cast("long").alias("page_views"))
-    return densify_days(shops_of(traffic, shop_id), facts, ["shop_id"], w[0], w[1], vals)
+    return densify_days(_shop_list(traffic, shop_id, shops), facts, ["shop_id"], w[0], w[1], vals)
 
 
 def top_pages(bronze: DataFrame, w: Win, shop_id=None, limit: int = 10) -> DataFrame:
@@ -255,7 +255,7 @@ def revenue_series(orders: DataFrame, w: Win, shop_id=None, shops: DataFrame | N
 # funnel (RPT-4, RPT-9)
 # ---------------------------------------------------------------------------------------
 def funnel_report(traffic: DataFrame, funnel: DataFrame, w: Win, shop_id=None,
-                  per_shop: bool = True) -> DataFrame:
+                  per_shop: bool = True, shops: DataFrame | None = None) -> DataFrame:
     """Stage 1 = sum of daily unique visitors (100 %); the others are sums of daily
     distinct sessions with a rate against stage 1, capped at 100."""
     keys = ["shop_id"] if per_shop else []
@@ -266,7 +266,7 @@ def funnel_report(traffic: DataFrame, funnel: DataFrame, w: Win, shop_id=None,
     f = _days(_shop(funnel, shop_id), w).select(*keys, z.alias("visits"), *names[1:])
     tot = t.unionByName(f).groupBy(*keys).agg(*[F.sum(n).cast("long").alias(n) for n in names])
     if per_shop:
-        tot = shops_of(traffic, shop_id).join(tot, keys, "left")
+        tot = _shop_list(traffic, shop_id, shops).join(tot, keys, "left")
     tot = _zero_fill(tot, names)
     stages = F.array(*[F.struct(F.lit(i + 1).alias("stage_order"), F.lit(n).alias("stage"),
                                 F.lit(lbl).alias("label"), F.col(n).alias("count"))
@@ -281,11 +281,14 @@ def funnel_report(traffic: DataFrame, funnel: DataFrame, w: Win, shop_id=None,
 # channels (RPT-5)
 # ---------------------------------------------------------------------------------------
 def channels_report(channels: DataFrame, w: Win, shop_id=None) -> DataFrame:
+    """Per channel, most sessions first: ``position`` counts from 1 within the shop (ties by name)."""
     agg = _days(_shop(channels, shop_id), w).groupBy("shop_id", "channel").agg(
         F.coalesce(F.sum("sessions"), F.lit(0)).cast("long").alias("sessions"),
         F.coalesce(F.sum("orders"), F.lit(0)).cast("long").alias("orders"),
         F.coalesce(F.sum("revenue_cents"), F.lit(0)).cast("long").alias("revenue_cents"))
-    return agg.withColumn("conversion_rate", conversion_pct("orders", "sessions"))
+    order = Window.partitionBy("shop_id").orderBy(F.desc("sessions"), "channel")
+    return agg.withColumn("conversion_rate", conversion_pct("orders", "sessions")) \
+        .withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def channels_series(channels: DataFrame, w: Win, shop_id=None) -> DataFrame:

@@ -81,8 +81,8 @@ def envelopes_from_events(spark: SparkSession, sf_dir: str, extremes: bool = Fal
              .when(a == 1, F.concat(F.lit(" 10."), n, F.lit(".1.1 ")))
              .when(a == 2, F.concat(F.lit("[2001:db8:"), F.lower(F.hex(F.col("uid") % 25)), F.lit("::1]:443")))
              .when(a == 3, F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("uid") % 25)), F.lit(":0:0:0:0:abcd")))
-             .when(a == 4, F.lit("fe80::1%eth0"))
-             .otherwise(F.lit("garbage")))
+             .when(a == 4, F.lit("fe80::c0:de%lan3"))
+             .otherwise(F.lit("unknown host")))
     return g.select("ingest_ts", addr.alias("remote_addr"), body.alias("body"))
 
 

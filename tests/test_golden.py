@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+from conftest import events_df
 from pyspark.sql import functions as F
 
 from shoplens.plans import reports as R
+from shoplens.plans import views as V
 from shoplens.sources.bronze import apply_retention, retention_cutoff
 
 
@@ -71,3 +73,27 @@ def test_retention_keeps_30_to_61_days(spark):
     df = spark.createDataFrame([(m,) for m in months], "event_month date")
     kept = sorted(r[0] for r in apply_retention(df, "2026-07-15 10:00:00").collect())
     assert kept == [dt.date(2026, 6, 1), dt.date(2026, 7, 1)]
+
+
+def test_shops_without_events_are_answered(spark):
+    """KPIs, series, traffic and funnel answer with zeros for a shop that never had an event."""
+    b = events_df(spark, [dict(shop_id="busy", session_id="s", visitor_id="v", event_type="page_view",
+                               created_at="2026-03-10 10:00:00")])
+    as_of = "2026-03-10 23:00:00"
+    v, w = V.all_views(b, as_of), R.window("7d", as_of)
+    shops = spark.createDataFrame([("busy",), ("idle",)], "shop_id string")
+    days = (w[1] - w[0]).days
+    made = {
+        "kpi": (lambda **k: R.kpi_windows(v["dashboard_kpi"], "7d", as_of, **k), 2),
+        "series": (lambda **k: R.kpi_series(v["dashboard_kpi"], "7d", as_of, **k), days),
+        "dashboard": (lambda **k: R.dashboard_series(v["dashboard_kpi"], b, "7d", as_of, **k), days),
+        "traffic": (lambda **k: R.traffic_summary(v["daily_traffic"], w, **k), 1),
+        "traffic series": (lambda **k: R.traffic_series(v["daily_traffic"], w, **k), days),
+        "funnel": (lambda **k: R.funnel_report(v["daily_traffic"], v["daily_funnel"], w, **k), 5)}
+    for name, (report, rows) in made.items():
+        both = report(shops=shops).collect()
+        idle = [r for r in both if r.shop_id == "idle"]
+        assert len(both) == 2 * rows and len(idle) == rows, name
+        numbers = [x for r in idle for c, x in r.asDict().items() if c not in ("shop_id", "day", "window_name", "stage_order", "rate")]
+        assert not any(x for x in numbers if not isinstance(x, str)), name
+        assert sorted(map(str, report(shop_id="idle").collect())) == sorted(map(str, idle)), name

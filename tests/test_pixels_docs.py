@@ -40,6 +40,21 @@ def test_fold_rules(spark):
     assert [(r["pixel_type"], r["pixel_id"]) for r in act] == [("google_analytics", "6")]
 
 
+def test_uncontested_ids_equal_the_replay(spark, monkeypatch):
+    """The aggregation gives what a replay of all operations gives."""
+    import random
+
+    from shoplens.operators import pixels
+    r = random.Random(5)
+    rows = [dict(seq=k, op=r.choice(["create", "update", "update", "update", "delete"]), id=f"i{r.randint(0, 14)}", shop_id="s",
+                 tenant_id=r.choice(["t", "t", "t", "u"]), pixel_type="vk", pixel_id=r.choice([None, f"p{r.randint(0, 60)}"]),
+                 name=r.choice([None, f"n{k}"]), is_active=r.choice([None, True, False])) for k in range(59)]
+    got = sorted(map(tuple, fold(_feed(spark, rows)).collect()))
+    monkeypatch.setattr(pixels, "_folded", lambda ops: ops.repartition("shop_id", "pixel_type")
+                        .sortWithinPartitions("seq").mapInPandas(pixels._replay, pixels.REGISTRY_SCHEMA))
+    assert got and got == sorted(map(tuple, fold(_feed(spark, rows)).collect()))
+
+
 def test_a_refused_update_leaves_the_pixel(spark):
     rows = [dict(seq=1, op="create", id="A", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P1"),
             dict(seq=2, op="create", id="B", shop_id="s", tenant_id="t", pixel_type="vk", pixel_id="P2", name="b"),
