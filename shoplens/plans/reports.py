@@ -22,6 +22,7 @@ from ..functions.periods import parse_instant, previous_range, resolve_range, sq
 from ..functions.rates import (conversion_pct, div_round_half_away, pct_2dp, round_ratio_pct,
                                round_share, safe_rate)
 from ..operators.densify import densify_buckets, densify_days
+from ..operators.distinct import pair_distinct_counts
 from ..operators.orphan_guard import guarded_order_events, net_order_aggs
 from ..operators.topk import clamp_limit, top_k, top_k_per_group
 from ..sources.bronze import scan_filter
@@ -155,11 +156,9 @@ def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
     s1 = (b.select("shop_id", bucket, "session_id", "visitor_id", "event_type")
            .groupBy(*keys, "session_id", "visitor_id")
            .agg(F.count_if(et == "page_view").alias("pv"), F.max(et.isin(*BROWSE_TYPES)).alias("br")))
-    traffic = s1.groupBy(*keys).agg(
-        F.sum("pv").cast("long").alias("page_views"),
-        F.count_distinct(F.when(F.col("br"), F.col("session_id"))).alias("unique_sessions"),
-        F.count_distinct("visitor_id").alias("unique_visitors"),
-        F.lit(0).cast("long").alias("total_orders"), F.lit(0).cast("long").alias("total_revenue_cents"))
+    traffic = pair_distinct_counts(s1, keys, ("unique_sessions", "session_id", F.col("br")),
+                                   ("unique_visitors", "visitor_id", F.lit(True)), {"page_views": "pv"}).withColumns(
+        {c: F.lit(0).cast("long") for c in ("total_orders", "total_revenue_cents")})
     ev = guarded_order_events(_shop(bronze, shop_id), valid_since=None,
                               extra_filter=_in_window(bronze, (start, end)))
     dedup = (ev.select("shop_id", bucket, "order_id", "event_type", "order_total_cents")
@@ -208,6 +207,14 @@ def traffic_series(traffic: DataFrame, w: Win, shop_id=None, shops: DataFrame |
     return densify_days(_shop_list(traffic, shop_id, shops), facts, ["shop_id"], w[0], w[1], vals)
 
 
+def window_uniques(uniques: DataFrame, w: Win, shop_id=None, shops: DataFrame | None = None) -> DataFrame:
+    """Unique sessions and visitors of the whole window, from the daily sketches (``views.daily_uniques``)."""
+    agg = _days(_shop(uniques, shop_id), w).groupBy("shop_id").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sessions")).alias("sessions"),
+        F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("visitors"))
+    return _zero_fill(_shop_list(uniques, shop_id, shops).join(agg, "shop_id", "left"), ["sessions", "visitors"])
+
+
 def top_pages(bronze: DataFrame, w: Win, shop_id=None, limit: int = 10) -> DataFrame:
     pages = (_created(_shop(bronze, shop_id), w)
              .filter((F.col("event_type") == "page_view") & F.col("page_url").isNotNull())

@@ -38,3 +38,12 @@ def test_first_shuffle_keys_below_shop(spark):
         keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
         # the deepest exchanges (listed last) partition by session, not by shop/day alone
         assert any("session_id" in k for k in keys), keys
+
+
+def test_two_distinct_counts_without_expand(spark):
+    from shoplens.plans import reports as R
+    from shoplens.plans.catalog import W24
+    s = _skewed(spark)
+    for df in (V.daily_traffic(s, EVENTS_AS_OF), V.traffic_from_grain(V.activity_grain(s, EVENTS_AS_OF)),
+               R.intraday_buckets(s, *W24), R.intraday_buckets(s, *W24, per_shop=False)):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
