@@ -148,31 +148,46 @@ def intraday_buckets(bronze: DataFrame, start: dt.datetime, end: dt.datetime,
 
     Orders are deduplicated per (bucket, shop, order, type); a cancel counts only when a
     purchase for the order exists anywhere in bronze (no window on that lookup)."""
-    wd = INTRADAY_BUCKET_SECONDS
     b = _created(_shop(bronze, shop_id), (start, end))
-    bucket = F.floor(F.unix_micros("created_at") / F.lit(wd * 1_000_000)).alias("bucket_idx")
-    keys = ["shop_id", "bucket_idx"] if per_shop else ["bucket_idx"]
-    et = F.col("event_type")
-    s1 = (b.select("shop_id", bucket, "session_id", "visitor_id", "event_type")
-           .groupBy(*keys, "session_id", "visitor_id")
-           .agg(F.count_if(et == "page_view").alias("pv"), F.max(et.isin(*BROWSE_TYPES)).alias("br")))
-    traffic = pair_distinct_counts(s1, keys, ("unique_sessions", "session_id", F.col("br")),
-                                   ("unique_visitors", "visitor_id", F.lit(True)), {"page_views": "pv"}).withColumns(
-        {c: F.lit(0).cast("long") for c in ("total_orders", "total_revenue_cents")})
     ev = guarded_order_events(_shop(bronze, shop_id), valid_since=None,
                               extra_filter=_in_window(bronze, (start, end)))
-    dedup = (ev.select("shop_id", bucket, "order_id", "event_type", "order_total_cents")
-               .groupBy("shop_id", "bucket_idx", "order_id", "event_type")
-               .agg(F.max("order_total_cents").alias("order_total_cents")))
-    orders = dedup.groupBy(*keys).agg(*net_order_aggs()).select(
-        *keys, *[F.lit(0).cast("long").alias(c) for c in ("page_views", "unique_sessions", "unique_visitors")],
-        F.col("order_count").alias("total_orders"), "total_revenue_cents")
-    vals = ["total_revenue_cents", "total_orders", "unique_visitors", "unique_sessions", "page_views"]
-    facts = traffic.unionByName(orders).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in vals])
     base = _shop_list(b, shop_id, shops) if per_shop else bronze.sparkSession.range(1).select()
+    return buckets_of(slot_pairs(b), slot_orders(ev), base, start, end, per_shop)
+
+
+def _bucket() -> Column:
+    return F.floor(F.unix_micros("created_at") / F.lit(INTRADAY_BUCKET_SECONDS * 1_000_000)).alias("bucket_idx")
+
+
+def slot_pairs(events: DataFrame) -> DataFrame:
+    """Events by (shop, bucket, session, visitor): page views, and whether any was a browsing event."""
+    et = F.col("event_type")
+    return events.select("shop_id", _bucket(), "session_id", "visitor_id", "event_type") \
+        .groupBy("shop_id", "bucket_idx", "session_id", "visitor_id") \
+        .agg(F.count_if(et == "page_view").alias("pv"), F.max(et.isin(*BROWSE_TYPES)).alias("br"))
+
+
+def slot_orders(order_events: DataFrame) -> DataFrame:
+    """Order events by (shop, bucket, order, type), with the largest total."""
+    return order_events.select("shop_id", _bucket(), "order_id", "event_type", "order_total_cents") \
+        .groupBy("shop_id", "bucket_idx", "order_id", "event_type").agg(F.max("order_total_cents").alias("order_total_cents"))
+
+
+def buckets_of(pairs: DataFrame, orders: DataFrame, base: DataFrame, start: dt.datetime, end: dt.datetime,
+               per_shop: bool = True) -> DataFrame:
+    """The buckets of [start, end) from ``slot_pairs`` and counted ``slot_orders``, zero-filled for ``base``."""
     kcols = ["shop_id"] if per_shop else []
-    return densify_buckets(base, facts, kcols, start, end, wd, vals).select(
-        *kcols, "bucket_idx", "slot", *vals)
+    keys = [*kcols, "bucket_idx"]
+    none = F.lit(0).cast("long")
+    traffic = pair_distinct_counts(pairs, keys, ("unique_sessions", "session_id", F.col("br")),
+                                   ("unique_visitors", "visitor_id", F.lit(True)), {"page_views": "pv"}).withColumns(
+        {c: none for c in ("total_orders", "total_revenue_cents")})
+    net = orders.groupBy(*keys).agg(*net_order_aggs()).select(
+        *keys, *[none.alias(c) for c in ("page_views", "unique_sessions", "unique_visitors")],
+        F.col("order_count").alias("total_orders"), "total_revenue_cents")
+    vals = ["total_revenue_cents", "total_orders", "unique_visitors", "unique_sessions", "page_views"]
+    facts = traffic.unionByName(net).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in vals])
+    return densify_buckets(base, facts, kcols, start, end, INTRADAY_BUCKET_SECONDS, vals).select(*kcols, "bucket_idx", "slot", *vals)
 
 
 def dashboard_series(kpi: DataFrame, bronze: DataFrame, period: str, as_of, from_=None, to=None,
