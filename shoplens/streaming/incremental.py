@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,12 @@ def _merged_lines(rows: DataFrame) -> DataFrame:
         F.max("product_name").alias("product_name"), F.sum("product_price_cents").alias("product_price_cents"))
 
 
+def together(jobs: list) -> None:
+    """Run independent jobs side by side: each is small next to the cluster."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(lambda job: job(), jobs))
+
+
 class Indexes:
     """The index tables below ``root``."""
 
@@ -94,13 +102,12 @@ class Indexes:
         self.lines = TableLog(spark, f"{base}/order_lines", ORDER_LINES, "day", ("shop_id",), _merged_lines)
 
     def add(self, events: DataFrame, writer: str, number: int, note: dict) -> None:
-        self.orders.append(order_days(events), writer, number)
-        self.lines.append(order_lines(events), writer, number)
-        self.sessions.append(session_days(events), writer, number, note)
+        together([lambda: self.orders.append(order_days(events), writer, number),
+                  lambda: self.lines.append(order_lines(events), writer, number),
+                  lambda: self.sessions.append(session_days(events), writer, number, note)])
 
     def compact(self) -> None:
-        for table in (self.sessions, self.orders, self.lines):
-            table.compact()
+        together([table.compact for table in (self.sessions, self.orders, self.lines)])
 
 
 def _before(table: TableLog, writer: str, number: int) -> Version:
@@ -181,35 +188,49 @@ def affected_days(batch: DataFrame, bronze: DataFrame, sessions: DataFrame, orde
     return (out if bound is None else out.filter(F.col("day") >= F.lit(bound.date()))).distinct()
 
 
-def recompute_days(bronze: DataFrame, days: list[dt.date], as_of, sessions: DataFrame, bought: DataFrame,
+def inputs_of_days(bronze: DataFrame, days: list[dt.date], as_of, sessions: DataFrame, bought: DataFrame,
                    lookback: str | None = V.DAILY_LOOKBACK) -> dict[str, DataFrame]:
-    """Daily views of ``days``. ``sessions``: rows of the session index within the lookback; ``bought``: all
-    (shop_id, order_id) with a purchase."""
+    """What the views of ``days`` are made of: ``activity`` and ``orders`` (see views) and ``sessions``. ``sessions``: rows
+    of the session index within the lookback; ``bought``: all (shop_id, order_id) with a purchase."""
     on_days = slice_days(bronze, days)
     active = sessions.filter(F.col("day").isin(*days)).select(*SESSION).distinct()
     sd = sessions.join(active, SESSION, "left_semi").groupBy(*SESSION).agg(
         F.min("m").alias("m"), F.collect_set(F.when(F.col("m").isNotNull() & F.col("day").isin(*days), F.col("day"))).alias("days"))
-    dedup = V.deduped_orders(on_days, as_of, lookback, bought=bought)
-    t, o = V.daily_traffic(on_days, as_of, lookback), V.orders_from_dedup(dedup)
-    return {
-        "daily_traffic": t,
-        "daily_orders": o,
-        "daily_funnel": V.daily_funnel(on_days, as_of, lookback),
-        "daily_channel_attribution": V.daily_channels(on_days, as_of, lookback),
-        "daily_geo": V.geo_of_sessions(sd.filter(F.col("m").isNotNull()), V.without_tenant(dedup)),
-        "dashboard_kpi": V.dashboard_kpi(t, o),
-    }
+    return {"activity": V.activity_grain(on_days, as_of, lookback),
+            "orders": V.deduped_orders(on_days, as_of, lookback, bought=bought),
+            "sessions": sd.filter(F.col("m").isNotNull())}
+
+
+def views_of_days(inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    activity, orders = inputs["activity"], inputs["orders"]
+    return {"daily_traffic": V.traffic_from_grain(activity), "daily_orders": V.orders_from_dedup(orders),
+            "daily_funnel": V.funnel_from_grain(activity), "daily_channel_attribution": V.channels_from_grain(activity),
+            "daily_geo": V.geo_of_sessions(inputs["sessions"], V.without_tenant(orders))}
 
 
 def write_days(views: dict[str, DataFrame], root: str, days: list[dt.date]) -> None:
     """Overwrite the partitions of ``days``; one that has no rows any more goes."""
-    for name, df in views.items():
+    def write(name: str, df: DataFrame) -> None:
         path, begun = f"{root.rstrip('/')}/{name}", time.time()
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
         for folder, changed, _ in storage.entries(df.sparkSession, path):
             if folder in {f"day={d}" for d in days} and changed / 1000 < begun - 1:
                 storage.delete(df.sparkSession, f"{path}/{folder}")
 
+    together([lambda name=name, df=df: write(name, df) for name, df in views.items()])
+
+
+def recompute(inputs: dict[str, DataFrame], root: str, days: list[dt.date]) -> None:
+    """Write the inputs once, then the views of ``days`` from them, then the KPIs from the views."""
+    spark, work = inputs["orders"].sparkSession, f"{root.rstrip('/')}/_work/{uuid.uuid4().hex}"
+    together([lambda name=name, df=df: df.write.parquet(f"{work}/{name}") for name, df in inputs.items()])
+    views = views_of_days({name: spark.read.schema(df.schema).parquet(f"{work}/{name}") for name, df in inputs.items()})
+    write_days(views, root, days)
+    stored = {name: spark.read.schema(views[name].schema).parquet(f"{root.rstrip('/')}/{name}").filter(F.col("day").isin(*days))
+              for name in ("daily_traffic", "daily_orders")}
+    write_days({"dashboard_kpi": V.dashboard_kpi(stored["daily_traffic"], stored["daily_orders"])}, root, days)
+    storage.delete(spark, work)
+
 
 def _drop_days(spark: SparkSession, root: str, before: dt.date) -> None:
     for name in DAY_VIEWS:
@@ -266,7 +287,7 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, bronze: DataFrame, root
     if days:
         sessions = _in_window(index.sessions.read(), bronze, bound)
         bought = index.orders.read().filter(F.col("event_type") == "purchase")
-        write_days(recompute_days(bronze, days, as_of, sessions, bought, lookback), root, days)
+        recompute(inputs_of_days(bronze, days, as_of, sessions, bought, lookback), root, days)
     if bound is not None:
         _drop_days(spark, root, bound.date())
     _write_top(top_products(bronze, index.lines.read(), as_of, top_lookback), root, number)

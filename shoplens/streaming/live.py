@@ -25,6 +25,7 @@ from ..constants import INTRADAY_BUCKET_SECONDS
 from ..operators.orphan_guard import guarded_order_events
 from ..plans import reports as R
 from ..sources.table_log import TableLog
+from .incremental import together
 
 BUCKETS = 32
 PAIRS = "shop_id string, bucket_idx bigint, session_id string, visitor_id string, pv bigint, br boolean, day date"
@@ -62,10 +63,9 @@ class LiveIntraday:
             "shop_id", "order_id", F.pmod(F.xxhash64("shop_id", "order_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
         # purchases first: a bucket that shows a cancel must know whether it was bought
         self.bought.append(bought.distinct(), writer, number)
-        self.orders.append(_with_day(R.slot_orders(orders)), writer, number)
-        self.pairs.append(_with_day(R.slot_pairs(events)), writer, number)
-        for table in (self.bought, self.orders, self.pairs):
-            table.compact()
+        together([lambda: self.orders.append(_with_day(R.slot_orders(orders)), writer, number),
+                  lambda: self.pairs.append(_with_day(R.slot_pairs(events)), writer, number)])
+        together([table.compact for table in (self.bought, self.orders, self.pairs)])
 
     def read(self, start: dt.datetime, end: dt.datetime, shop_id: str | None = None, per_shop: bool = True,
              shops: DataFrame | None = None) -> DataFrame:
