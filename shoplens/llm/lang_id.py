@@ -106,37 +106,68 @@ class BackoffModel:
         self.by_words, self.sizes = self.unit == 0, sorted(set(self.unit.tolist()) - {0})
         self.whole = np.maximum(self.cover, 1e-9)
 
-    def known_word(self, word: str) -> np.ndarray:
-        """For each language the share of the word that it knows, by its share of known letters; below,
-        the same by n-grams for words that it hasn't seen."""
-        row = self.words.row.get(word)
-        out = np.zeros((2, len(self.langs)))
-        if row is not None:
-            out[0] = self.words.seen[row] & self.by_words
+    def _hits(self, words: list[str], size: int) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Of the words' n-grams those that were learned, word after word: their rows; the words that have any, where
+        each one's rows begin, and how many n-grams each word has."""
+        get, rows, which, first, lengths = self.grams[size].row.get, [], [], [], []
+        for k, w in enumerate(words):
+            grams = grams_of(w, size)
+            found = [r for r in map(get, grams) if r is not None]
+            lengths.append(len(grams))
+            if found:
+                which.append(k)
+                first.append(len(rows))
+                rows += found
+        return rows, which, first, lengths
+
+    def known_words(self, words: list[str]) -> np.ndarray:
+        """(word, 2, language): for each language the share of the word that it knows, by its share of known letters;
+        beside it the same by n-grams for words that it hasn't seen."""
+        out = np.zeros((len(words), 2, len(self.langs)))
+        met = [(k, r) for k, w in enumerate(words) if (r := self.words.row.get(w)) is not None]
+        if met:
+            at, rows = map(list, zip(*met))
+            out[at, 0] = self.words.seen[rows] & self.by_words
         for size in self.sizes:
-            np.copyto(out[0], self._known_grams(word, size), where=self.unit == size)
-        unseen = self.by_words & (out[0] == 0)
-        if unseen.any():
-            out[1] = self._known_grams(word, CREDIT) * unseen
-        out /= self.whole
-        return out
-
-    def _known_grams(self, word: str, size: int) -> np.ndarray:
-        """The share of the word's n-grams that each language has."""
-        of, grams = self.grams[size], grams_of(word, size)
-        rows = [of.row[g] for g in grams if g in of.row]
-        return of.seen[rows].sum(axis=0) / max(1, len(grams))
-
-    def score_word(self, word: str) -> np.ndarray:
-        known = self.words.row.get(word)
-        if known is not None:
-            return self.words.table[known]
+            np.copyto(out[:, 0], self._known_grams(words, size), where=self.unit == size)
+        unseen = self.by_words & (out[:, 0] == 0)
+        some = np.flatnonzero(unseen.any(axis=1))
+        if len(some):
+            out[some, 1] = self._known_grams([words[k] for k in some], CREDIT) * unseen[some]
+        return out / self.whole
+
+    def _known_grams(self, words: list[str], size: int) -> np.ndarray:
+        """The share of each word's n-grams that each language has."""
+        out = np.zeros((len(words), len(self.langs)))
+        rows, which, first, lengths = self._hits(words, size)
+        if rows:
+            out[which] = np.add.reduceat(self.grams[size].seen[rows].astype(np.float64), first, axis=0)
+        return out / np.maximum(1, lengths)[:, None]
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """(word, language): log frequencies."""
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        left = []
+        met: tuple[list[int], list[int]] = [], []
+        for k, w in enumerate(words):
+            row = self.words.row.get(w)
+            if row is None:
+                left.append(k)
+            else:
+                met[0].append(k)
+                met[1].append(row)
+        if met[0]:
+            out[met[0]] = self.words.table[met[1]]
         for size in NGRAMS:
-            of = self.grams[size]
-            hits = [of.row[g] for g in grams_of(word, size) if g in of.row]
-            if hits:
-                return of.table[hits].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+            if not left:
+                break
+            rows, which, first, _ = self._hits([words[k] for k in left], size)
+            if rows:
+                number = np.diff([*first, len(rows)])[:, None]
+                out[[left[j] for j in which]] = np.add.reduceat(self.grams[size].table[rows], first, axis=0) / number
+                done = set(which)
+                left = [k for j, k in enumerate(left) if j not in done]
+        return out
 
 
 class Scorer:
@@ -159,13 +190,12 @@ class Scorer:
         rows = list(map(self.index.get, words))
         if None not in rows:
             return rows
-        for w in dict.fromkeys(words):
-            if w not in self.index:
-                k = len(self.index)
-                if k == len(self.table):
-                    self.table, self.share = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.share))
-                self.table[k] = self.model.score_word(w)
-                self.index[w] = k
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        k = len(self.index)
+        while k + len(new) > len(self.table):
+            self.table, self.share = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.share))
+        self.table[k:k + len(new)] = self.model.score_words(new)
+        self.index.update(zip(new, range(k, k + len(new))))
         return list(map(self.index.get, words))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -188,9 +218,8 @@ class Scorer:
             return 0.0
         rows = self._rows(list(found))
         if self.shared < len(self.index):
-            new = list(islice(reversed(self.index), len(self.index) - self.shared))
-            for k, w in enumerate(reversed(new), self.shared):
-                self.share[k] = self.model.known_word(w)
+            new = list(islice(reversed(self.index), len(self.index) - self.shared))[::-1]
+            self.share[self.shared:len(self.index)] = self.model.known_words(new)
             self.shared = len(self.index)
         letters = np.array([n * len(w) for w, n in found.items()])
         seen, alike = letters @ self.share[rows, :, self.model.langs.index(lang)].astype(np.float64)

@@ -28,9 +28,9 @@ def test_language_held_out(spark):
 def test_words_before_ngrams():
     model = lang_id.BackoffModel([("en", "thing", 9), ("de", "ding", 9), ("de", "dong", 3)])
     assert model.langs == ["de", "en"]
-    known, unseen = model.score_word("thing"), model.score_word("dingsbums")
+    known, unseen = model.score_words(["thing", "dingsbums"])
     assert known[1] > known[0] and unseen[0] > unseen[1]
-    assert (model.score_word("漢字") == 0).sum() in (0, 2)
+    assert (model.score_words(["漢字"])[0] == 0).sum() in (0, 2)
 
 
 def test_odd_texts(spark):
