@@ -71,11 +71,13 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
             list(pool.map(lambda kv: write(*kv), jobs.items()))
 
     if shared:
-        # one bronze pass for traffic/funnel/channels, one order dedup for orders/geo; both
-        # written once (this also cuts the lineage the seven views would otherwise repeat)
+        # one bronze pass for traffic/funnel/channels, one order dedup for orders/geo, the sessions'
+        # geo once for its two uses; all written once (this also cuts the lineage the seven views
+        # would otherwise repeat)
         work = f"{root.rstrip('/')}/_work/version={version}"
         inter = {"activity": V.activity_grain(bronze, as_of, lookback),
-                 "orders": V.deduped_orders(bronze, as_of, lookback)}
+                 "orders": V.deduped_orders(bronze, as_of, lookback),
+                 "sessions": V.session_days(bronze, as_of, lookback)}
 
         def keep(item: tuple[str, DataFrame]) -> tuple[str, Exception | None]:
             try:
@@ -84,7 +86,7 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
             except Exception as e:  # noqa: BLE001 - the views without this input go on
                 return item[0], e
 
-        with ThreadPoolExecutor(max_workers=max(1, min(2, parallel))) as pool:
+        with ThreadPoolExecutor(max_workers=max(1, min(3, parallel))) as pool:
             failed = dict(pool.map(keep, inter.items()))
 
         def stored(name: str) -> DataFrame:
@@ -97,7 +99,7 @@ def refresh_all(spark: SparkSession, bronze: DataFrame, root: str, as_of,
             "daily_orders": lambda: V.orders_from_dedup(stored("orders")),
             "daily_funnel": lambda: V.funnel_from_grain(stored("activity")),
             "daily_channel_attribution": lambda: V.channels_from_grain(stored("activity")),
-            "daily_geo": lambda: V.daily_geo(bronze, as_of, lookback, dedup_with_tenant=stored("orders")),
+            "daily_geo": lambda: V.geo_of_sessions(stored("sessions"), V.without_tenant(stored("orders"))),
         }
     else:
         silver = {

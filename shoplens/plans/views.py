@@ -159,7 +159,7 @@ def geo_rank() -> Column:
     return F.struct(F.col("geo_country").isNull().alias("no_geo"), "created_at", "id", *GEO)
 
 
-def _session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
+def session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
     """Per (shop, session): the canonical geo and the set of browsing days.
 
     Canonical geo = the earliest browsing event that has a country, else the earliest
@@ -175,22 +175,17 @@ def _session_days(bronze: DataFrame, as_of, lookback: str | None) -> DataFrame:
 
 
 def session_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK) -> DataFrame:
-    return _session_days(bronze, as_of, lookback).select(
+    return session_days(bronze, as_of, lookback).select(
         "shop_id", "session_id", *[F.col("m")[g].alias(g) for g in GEO])
 
 
-def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK,
-              dedup_with_tenant: DataFrame | None = None) -> DataFrame:
+def daily_geo(bronze: DataFrame, as_of, lookback: str | None = DAILY_LOOKBACK) -> DataFrame:
     """Sessions, net orders and revenue per (shop, day, country, subject, city).
 
     Each session maps to exactly one geo triple (its canonical browsing geo), each order to
     its session's triple (NULLs when unknown), so the counts are disjoint and additive."""
-    sd = _session_days(bronze, as_of, lookback)
-    if dedup_with_tenant is None:
-        oe = deduped_orders(bronze, as_of, lookback, with_tenant=False)
-    else:
-        oe = without_tenant(dedup_with_tenant)
-    return geo_of_sessions(sd, oe)
+    return geo_of_sessions(session_days(bronze, as_of, lookback),
+                           deduped_orders(bronze, as_of, lookback, with_tenant=False))
 
 
 def without_tenant(dedup_with_tenant: DataFrame) -> DataFrame:
