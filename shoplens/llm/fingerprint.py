@@ -11,8 +11,7 @@ occupied shards that agree tells how alike two multisets are.
 Defined results: null texts count as empty; an empty text has no paragraphs and the zero
 fingerprint. Likeness is 1 for equal fingerprints, two empty ones included. For ``edited``,
 rows with the same doc_id follow each other by text, rows without doc_id come first, after the
-last row comes the first; a single row is its own successor. Columns named as a result are
-replaced, others pass through.
+last row comes the first; a single row is its own successor. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Every link is confirmed on the full sets. Components are contracted on the clust
 Defined results: a text without words (or null) has an empty set and is linked with nothing.
 Fewer words than five make one shingle of the whole sequence. Rows that share a doc_id are one
 document. A row without doc_id takes no part: its component is null and it is kept. Other
-columns pass through; columns named as a result are replaced.
+columns are ignored.
 """
 
 from __future__ import annotations

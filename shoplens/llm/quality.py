@@ -38,7 +38,7 @@ LOWER, UPPER, DIGIT, SPACE, SIGN = range(5)
 
 @cache
 def _kinds() -> np.ndarray:
-    """Character kind by code point, for the basic plane; beyond it all count as letters."""
+    """Character kind by code point, for the basic plane; beyond it all count as signs."""
 
     def kind(c: str) -> int:
         k = unicodedata.category(c)
