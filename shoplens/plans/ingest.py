@@ -41,10 +41,6 @@ EVENTS_TYPE = "array<struct<" + ", ".join(f"{c}: string" for c in TEXT_FIELDS) +
     ", product_price: variant, order_total: variant, cost_price_cents: variant>>"
 
 
-def _field(v: Column, name: str) -> Column:
-    return F.variant_get(v, f"$.{name}", "variant")
-
-
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -60,23 +56,33 @@ def _is_whole(v: Column) -> Column:
 
 
 def _text(v: Column, name: str) -> Column:
-    return F.variant_get(v, f"$.{name}", "string")
+    return F.try_variant_get(v, f"$.{name}", "string")
+
 
+def _once(c: Column) -> Column:
+    """``c``, which the optimizer neither inlines where it is used nor pushes filters through: it does
+    so with nothing that isn't deterministic, as the (always true) condition on the partition's id."""
+    return F.when(F.spark_partition_id() >= 0, c)
 
-def _object_ok_types(o: Column, text_fields=TEXT_FIELDS) -> Column:
-    """Typed decoding rule: known text fields must be JSON strings (or null); an integer
-    field must be a whole number. One ``map<string, variant>`` view of the object keeps
-    the check a single small lambda."""
-    m = F.variant_get(o, "$", "map<string,variant>")
-    names = F.array(*[F.lit(f) for f in text_fields])
-    text_ok = F.forall(F.map_entries(m), lambda x: ~F.array_contains(names, x["key"])
+
+def _types_ok(m: Column) -> Column:
+    """Typed decoding rule of an object, as ``map<string, variant>`` (null: it is none): known text
+    fields must be JSON strings (or null); an integer field must be a whole number. ``isin`` looks the
+    name up in a hash set."""
+    text_ok = F.forall(F.map_entries(m), lambda x: ~x["key"].isin(*TEXT_FIELDS)
                        | F.schema_of_variant(x["value"]).isin("STRING", "VOID"))
-    return text_ok & _is_whole(F.try_element_at(m, F.lit("cost_price_cents")))
+    return m.isNotNull() & text_ok & _is_whole(F.try_element_at(m, F.lit("cost_price_cents")))
 
 
 def parse_batches(raw: DataFrame) -> DataFrame:
     """One row per raw envelope with ``batch_id``, ``v`` (parsed body), ``events``
-    (array<variant>), ``rows`` (the same, typed) and ``reason`` (NULL = accepted)."""
+    (array<variant>), ``rows`` (the same, typed), ``env_shop`` and ``env_tenant`` (the body's own) and
+    ``reason`` (NULL = accepted).
+
+    Whether the body is an object and its events are an array of objects is told by extracting them
+    as such (null if they are not): the schema of a body would have to be made of all of its events.
+    The body is parsed and each extraction made once a batch; without ``_once``, a filter on ``reason``
+    would be pushed below all of them, with a copy of each in every place that it is used."""
     batch_id = F.sha2(F.concat_ws("|", F.col("ingest_ts").cast("string"), F.coalesce("remote_addr", F.lit("")),
                                   F.coalesce("body", F.lit(""))), 256)
     # the body is read up to the byte limit; a longer body is cut there (and a cut
@@ -84,35 +90,29 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     body = F.when(F.octet_length("body") > MAX_BODY_BYTES,
                   F.decode(F.substring(F.encode("body", "UTF-8"), 1, MAX_BODY_BYTES), "UTF-8")
                   ).otherwise(F.col("body"))
-    # The body must be parsed once per batch. A later filter on ``reason`` would otherwise
-    # be pushed below this projection with ``v`` substituted into each of its ~20
-    # references (one JSON parse each). Catalyst neither inlines nor pushes filters through
-    # a non-deterministic expression, so the (always true) partition-id guard pins ``v``.
-    v = F.when(F.spark_partition_id() >= 0, F.try_parse_json(body))
-    d = raw.select("*", batch_id.alias("batch_id"), v.alias("v"))
-    ev_v = _field(F.col("v"), "events")
-    events = F.when(ev_v.isNull() | _kind(ev_v).startswith("ARRAY"),
-                    F.variant_get(F.col("v"), "$.events", "array<variant>"))
-    # all events in one extraction; null if a field's type is wrong, which rejects the batch anyway
-    rows = F.when(ev_v.isNull() | _kind(ev_v).startswith("ARRAY"),
-                  F.try_variant_get(F.col("v"), "$.events", EVENTS_TYPE))
-    d = d.withColumn("events", events).withColumn("rows", rows)
-    types_ok = (_is_text(_field(F.col("v"), "shop_id")) & _is_text(_field(F.col("v"), "tenant_id"))
-                & (ev_v.isNull() | _kind(ev_v).startswith("ARRAY"))
-                & F.coalesce(F.forall("events", lambda e: _kind(e).startswith("OBJECT")
-                                      & _object_ok_types(e)), F.lit(True)))
-    shop = _text(F.col("v"), "shop_id")
-    n = F.coalesce(F.size("events"), F.lit(0))
+    d = raw.select("*", batch_id.alias("batch_id"), _once(F.try_parse_json(body)).alias("v"))
+    top, maps = F.col("_top"), F.col("_maps")
+    # _top: the body's own fields, null if it is no object
+    # rows: all events in one extraction; null if a field's type is wrong, which rejects the batch anyway
+    d = d.select("*", _once(F.try_variant_get("v", "$", "struct<shop_id: variant, tenant_id: variant>")).alias("_top"),
+                 _once(F.try_variant_get("v", "$.events", "array<variant>")).alias("events"),
+                 _once(F.try_variant_get("v", "$.events", "array<map<string,variant>>")).alias("_maps"),
+                 _once(F.try_variant_get("v", "$.events", EVENTS_TYPE)).alias("rows"),
+                 _once(_text(F.col("v"), "shop_id")).alias("env_shop"),
+                 _once(nullify_empty(_text(F.col("v"), "tenant_id"))).alias("env_tenant"))
+    types_ok = (_is_text(top["shop_id"]) & _is_text(top["tenant_id"])
+                & (maps.isNotNull() | F.try_variant_get("v", "$.events", "variant").isNull())
+                & F.coalesce(F.forall(maps, _types_ok), F.lit(True)))
+    shop = F.col("env_shop")
+    n = F.coalesce(F.size(maps), F.lit(0))
     first_bad = F.try_element_at(F.filter(
-        F.transform("rows", lambda e, i: F.struct(i.alias("pos"), event_reason(
-            e["session_id"], e["type"], e["timestamp"], F.col("ingest_ts")).alias("r"))),
-        lambda x: x["r"].isNotNull()), F.lit(1))["r"]
-    reason = (F.when(F.col("v").isNull() | ~F.coalesce(_kind(F.col("v")), F.lit("")).startswith("OBJECT")
-                     | ~types_ok, F.lit("invalid_json"))
+        F.transform("rows", lambda e: event_reason(e["session_id"], e["type"], e["timestamp"], F.col("ingest_ts"))),
+        lambda r: r.isNotNull()), F.lit(1))
+    reason = (F.when(top.isNull() | ~types_ok, F.lit("invalid_json"))
                .when(shop.isNull() | (shop == ""), F.lit("shop_id_required"))
                .when((n < 1) | (n > MAX_EVENTS_PER_BATCH), F.lit("events_count"))
                .otherwise(first_bad))
-    return d.withColumn("reason", reason)
+    return d.withColumn("reason", _once(reason)).drop("_top", "_maps")
 
 
 MONEY = ("product_price_cents", "order_total_cents", "cost_price_cents")
@@ -125,16 +125,14 @@ def _bronze_events(client_geo: bool = False) -> Column:
     All columns of an event are built inside one ``transform``: the lambda is evaluated per
     element outside the generated code, which keeps the stage's generated method small (a
     flat projection of ~25 extractions exceeds the JVM method size limit)."""
-    env = F.col("v")
-
     def one(e: Column, i: Column) -> Column:
         def opt(name: str) -> Column:
             return nullify_empty(e[name])
 
         return F.struct(
             F.concat_ws("-", F.col("batch_id"), i.cast("string")).alias("id"),
-            F.coalesce(opt("shop_id"), _text(env, "shop_id")).alias("shop_id"),
-            F.coalesce(opt("tenant_id"), nullify_empty(_text(env, "tenant_id"))).alias("tenant_id"),
+            F.coalesce(opt("shop_id"), F.col("env_shop")).alias("shop_id"),
+            F.coalesce(opt("tenant_id"), F.col("env_tenant")).alias("tenant_id"),
             e["session_id"].alias("session_id"),
             opt("visitor_id").alias("visitor_id"),
             e["type"].alias("event_type"),
