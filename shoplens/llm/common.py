@@ -65,32 +65,32 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.withColumn("__sample", h).where(F.col("__sample") < below).dropDuplicates(["__sample"]).drop("__sample")
 
 
-#: bits of a membership filter at most (8 MB); so many for each id below that
-FILTER_BITS, BITS_PER_ID = 1 << 26, 16
+#: blocks of a membership filter at most (8 MB), each of so many bits; so many bits for each id below that
+FILTER_BLOCKS, BLOCK_BITS, BITS_PER_ID = 1 << 11, 1 << 15, 16
 
 
-def _maybe(key: str, ids: DataFrame) -> Column:
-    """A broadcast bit filter of bounded size: false only for keys that are not among ``ids``."""
+def _filter(key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """A broadcast bit filter of bounded size, and the condition that joins a row's ``key`` to its block: never
+    false for keys that are among ``ids``. An id's bits lie in one block. All of it is Spark's own expressions, so the
+    rows' other columns don't pass through Python workers, nor wait for them in the executors' heap."""
     name, n = ids.columns[0], ids.count()
-    bits = min(FILTER_BITS, max(1 << 15, 1 << (BITS_PER_ID * n).bit_length()))
-    at = F.explode(F.array(*(1 + F.pmod(F.xxhash64(F.lit(seed), F.col(name)), F.lit(bits)) for seed in (1, 2))))
-    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")) \
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    whole = np.zeros((-(-bits // (1 << 15)), 1 << 12), dtype=np.uint8)
-    for r in rows:
-        whole[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(whole.ravel())
+    blocks = min(FILTER_BLOCKS, max(1, 1 << (BITS_PER_ID * n // BLOCK_BITS).bit_length()))
 
-    @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-        table = shared.value
+    def block(c: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(0), c), F.lit(blocks))
 
-        def has(x: np.ndarray) -> np.ndarray:
-            return table[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1
+    def places(c: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(seed), c), F.lit(BLOCK_BITS)) for seed in (1, 2)]
 
-        return pd.Series(has(a.to_numpy()) & has(b.to_numpy()))
+    rows = ids.select(block(F.col(name)).alias("__block"), F.explode(F.array(*places(F.col(name)))).alias("at")) \
+        .groupBy("__block").agg(F.bitmap_construct_agg("at").alias("__bits"))
 
-    return maybe(*(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits)).cast("long") for seed in (1, 2)))
+    def is_set(at: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.bit_get(byte, (at % 8).cast("int")) == 1
+
+    one, two = places(F.col(key))
+    return F.broadcast(rows), (block(F.col(key)) == F.col("__block")) & is_set(one) & is_set(two)
 
 
 def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -99,13 +99,14 @@ def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     The bit filter drops most other rows before the join shuffles what is left of ``df``; where
     there are too many ids for it, it drops fewer, and the join decides.
     """
-    some = df.where(F.col(key).isNotNull()).where(_maybe(key, ids))
+    some = df.where(F.col(key).isNotNull()).join(*_filter(key, ids), "left_semi")
     return some.join(ids, F.col(key) == F.col(ids.columns[0]), "left_semi")
 
 
 def rows_without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` (long) is null or not among ``ids``; what the filter clears
     isn't shuffled."""
-    marked = df.withColumn("__maybe", F.col(key).isNotNull() & _maybe(key, ids))
-    doubtful = marked.where("__maybe").join(ids, F.col(key) == F.col(ids.columns[0]), "left_anti")
-    return marked.where("NOT __maybe").unionByName(doubtful).drop("__maybe")
+    bits, maybe = _filter(key, ids)
+    maybe &= F.col(key).isNotNull()
+    doubtful = df.join(bits, maybe, "left_semi").join(ids, F.col(key) == F.col(ids.columns[0]), "left_anti")
+    return df.join(bits, maybe, "left_anti").unionByName(doubtful)

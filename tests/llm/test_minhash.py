@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from shoplens.llm import minhash
+from shoplens.llm import common, minhash
 from shoplens.llm.components import components
 
 
@@ -100,3 +100,17 @@ def test_components(spark):
     df = spark.createDataFrame([*edges, (None, 1)], "a long, b long")
     assert {r.node: r.component for r in components(df).collect()} == {x: root(x) for x in top}
     assert components(df.limit(0)).collect() == []
+
+
+def test_rows_by_a_filter_without_python_workers(spark):
+    """Rows picked by many ids: repeated keys, nulls; no second set of workers beside an operator's own."""
+    df = spark.range(-50, 9000).selectExpr("CASE WHEN id % 100 <> 7 THEN id END AS k", "id % 3 AS x").unionByName(
+        spark.createDataFrame([(5, 9), (5, 9), (1 << 62, 9), (None, 9)], "k long, x long"))
+    rows = sorted(df.collect(), key=str)
+    for wanted in ([], [5], [*range(-50, 6000, 5), 1 << 62]):
+        ids = spark.createDataFrame([(k,) for k in wanted], "of long")
+        some, rest = common.rows_of(df, "k", ids), common.rows_without(df, "k", ids)
+        assert sorted(some.collect(), key=str) == [r for r in rows if r.k in set(wanted)]
+        assert sorted(rest.collect(), key=str) == [r for r in rows if r.k not in set(wanted)]
+        for found in (some, rest):
+            assert found.columns == df.columns and "Python" not in found._jdf.queryExecution().toString()
